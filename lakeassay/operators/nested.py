@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeassay.operators.skew import heavy_keys, salted_join
-from lakeassay.session import materialize
+from lakeassay.session import materialize, ship_package
 
 NODE = T.StructType(
     [
@@ -165,6 +165,7 @@ def flatten(reports: DataFrame) -> Flattened:
     child_kind, and child_id of an object or list or the scalar itself.  Extra
     columns of the reports stay in ``reports``.
     """
+    ship_package(reports.sparkSession)
     chosen = materialize(latest_delivery(reports), "reports")
     report_rows = chosen.withColumn("n_modules", F.greatest(F.coalesce(F.size("module_results"), F.lit(0)), F.lit(0))).drop("module_results")
     modules = chosen.select("report_id", F.posexplode("module_results").alias("module_no", "m"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeassay.session import default_parallelism
+from lakeassay.session import default_parallelism, ship_package
 
 ENTRY = T.StructType(
     [
@@ -77,6 +77,7 @@ def pack(df: DataFrame, out_dir: str, *, file_id: str = "file_id", path: str = "
     are not stored.  An empty ``df`` gives an archive without blocks.
     """
     spark = df.sparkSession
+    ship_package(spark)
     members = df.select(F.col(file_id).cast("long").alias("file_id"), F.col(path).alias("path"), F.col(content).cast("binary").alias("content"))
     total = members.agg(F.sum(F.coalesce(F.octet_length("content"), F.lit(0)))).first()[0] or 0
     parts = members.rdd.getNumPartitions()
@@ -107,15 +108,19 @@ def members(blocks: DataFrame) -> DataFrame:
     The slices are cut inside the block's row before it is exploded, so a block
     is never copied per member.  ``sound`` says whether the checksum holds.
     """
+    # The payload is bound to a lambda variable: read as a column, it would be copied for every entry.
     cut = F.transform(
-        "entries",
-        lambda e: F.struct(
-            e["file_id"].alias("file_id"),
-            e["path"].alias("path"),
-            e["crc32"].alias("crc32"),
-            F.when(e["length"].isNotNull(), F.substring(F.col("payload"), e["offset"].cast("int") + 1, e["length"].cast("int"))).alias("content"),
+        F.array("payload"),
+        lambda payload: F.transform(
+            "entries",
+            lambda e: F.struct(
+                e["file_id"].alias("file_id"),
+                e["path"].alias("path"),
+                e["crc32"].alias("crc32"),
+                F.when(e["length"].isNotNull(), F.substring(payload, e["offset"].cast("int") + 1, e["length"].cast("int"))).alias("content"),
+            ),
         ),
-    )
+    )[0]
     out = blocks.select(F.inline(cut))
     return out.select("file_id", "path", "content", (F.col("content").isNull() | (F.crc32("content") == F.col("crc32"))).alias("sound"))
 
@@ -148,33 +153,47 @@ def canonical_path(path: Column) -> Column:
     return F.when(slashed.rlike(r"(^|/)\.\.(/|$)"), resolved).when(slashed.rlike(r"(^|/)\.?(/|$)"), plain).otherwise(slashed)
 
 
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+#: More lines than a file of the narrow position type may have.
+LINE_SPAN = 1 << 24
 FIELDS = ("cls", "x", "y", "w", "h")
 
 
-def label_records(files: DataFrame) -> DataFrame:
+def label_records(files: DataFrame, wide: bool = True) -> DataFrame:
     """The label records of members (file_id, path, content): file_id, line_no, image, the five values.
 
     A record is a line (split at line feeds, numbered from 1) with at least five
     blank-separated tokens; later tokens do not count.  Values are compared as
     numbers; if any of the five is not a number, ``odd`` holds all five as
     written and takes part in the comparison.  ``pos`` orders records by file
-    and line and is unique if file ids are.
+    and line and is unique if file ids are; see :func:`needs_wide` for ``wide``.
     """
-    # tokens of a line, blanks of any kind around them
-    lines = files.select("file_id", canonical_path(F.col("path")).alias("image"), F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("n", "line"))
-    tokens = lines.select("file_id", "image", (F.col("n") + 1).alias("line_no"), F.split(F.regexp_replace("line", r"^\s+", ""), r"\s+", 6).alias("t")).where((F.size("t") >= 5) & (F.element_at("t", 5) != ""))
-    numeric = F.lit(True)
-    for i in range(5):
-        numeric = numeric & F.col("t")[i].rlike(NUMBER)
-    out = tokens.select(
-        "file_id",
-        "line_no",
-        "image",
-        *[F.when(F.col("t")[i].rlike(NUMBER), F.col("t")[i].try_cast("double")).alias(f) for i, f in enumerate(FIELDS)],
-        F.when(~numeric, F.concat_ws(" ", F.slice("t", 1, 5))).alias("odd"),
-    )
-    return out.withColumn("pos", F.col("file_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no"))
+    # The path is resolved once per file, below the explode.
+    named = files.select("file_id", canonical_path(F.col("path")).alias("image"), F.col("content").cast("string").alias("content"))
+    lines = named.select("file_id", "image", F.posexplode(F.split("content", "\n")).alias("n", "line"))
+    blank = F.btrim(F.translate("line", "\t\r\f\u000b", "    "))
+    tokens = lines.select("file_id", "image", (F.col("n") + 1).alias("line_no"), F.split(blank, " +", 6).alias("t")).where(F.size("t") >= 5)
+    five = F.concat_ws(" ", F.slice("t", 1, 5))
+    values = [F.col("t")[i].try_cast("double") for i in range(5)]
+    parsed = tokens.select("file_id", "line_no", "image", *[v.alias(f) for v, f in zip(values, FIELDS)], five.alias("five"), (F.translate("five", "0123456789+-.eE ", "") == "").alias("plain"))
+    # Only these characters make a number: no infinities, hexadecimals or type suffixes.
+    numeric = F.col("plain")
+    for f in FIELDS:
+        numeric = numeric & F.col(f).isNotNull()
+    out = parsed.select("file_id", "line_no", "image", *[F.when(F.col("plain"), F.col(f)).alias(f) for f in FIELDS], F.when(~numeric, F.col("five")).alias("odd"))
+    return out.withColumn("pos", position_of(F.col("file_id"), F.col("line_no"), wide))
+
+
+def position_of(file_id: Column, line_no: Column, wide: bool) -> Column:
+    """One number that orders records by file, then line: a long where file ids allow, else a decimal."""
+    if wide:
+        return file_id.cast("decimal(20,0)") * F.lit(LINE_SPAN).cast("decimal(10,0)") + line_no
+    return file_id * F.lit(LINE_SPAN) + line_no
+
+
+def needs_wide(spark: SparkSession, directory: str) -> bool:
+    """Whether file ids or line numbers are too large for positions in a long."""
+    m = index(spark, directory).agg(F.max(F.abs("file_id")).alias("i"), F.max("length").alias("n")).first()
+    return (m["i"] or 0) >= 1 << 38 or (m["n"] or 0) >= LINE_SPAN
 
 
 def first_records(records: DataFrame) -> DataFrame:
@@ -191,7 +210,10 @@ def repeated_records(records: DataFrame) -> DataFrame:
     """Positions (file_id, line_no) that repeat an earlier record of the same image.
 
     All positions minus the first ones: the join runs on positions, which are
-    unique, so no image or record can become hot.
+    unique, so no image or record can become hot.  Records are grouped by 128
+    bits of their hash, which keeps the shuffle to three numbers a row.
     """
-    named = records.where(F.col("image").isNotNull())
-    return named.join(first_records(records).select("pos"), "pos", "left_anti").select("file_id", "line_no")
+    key = ["image", *FIELDS, "odd"]
+    named = records.where(F.col("image").isNotNull()).select(F.xxhash64(*key).alias("k1"), F.xxhash64(F.lit(1), *reversed(key)).alias("k2"), "pos", "file_id", "line_no")
+    first = named.groupBy("k1", "k2").agg(F.min("pos").alias("pos"))
+    return named.select("pos", "file_id", "line_no").join(first.select("pos"), "pos", "left_anti").select("file_id", "line_no")

@@ -6,30 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeassay.operators import nested, packing, profile, rejects, sampling
-from lakeassay.session import scratch_path, ship_package, table
+from lakeassay.session import scratch_path, table
 
 # --- problem 1 -------------------------------------------------------------------------
 
 
 def _archive(spark: SparkSession, sf: str) -> str:
-    ship_package(spark)
     out = scratch_path(spark, "archive")
     packing.pack(table(spark, sf, "label_files"), out)
     return out
 
 
+def _records(spark: SparkSession, sf: str) -> tuple[DataFrame, bool]:
+    """The label records as read back from the packed containers."""
+    directory = _archive(spark, sf)
+    wide = packing.needs_wide(spark, directory)
+    return packing.label_records(packing.members(packing.archive(spark, directory)), wide), wide
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Records that repeat an earlier one of the same image, read back from the packed containers."""
-    blocks = packing.archive(spark, _archive(spark, sf))
-    return packing.repeated_records(packing.label_records(packing.members(blocks)))
+    return packing.repeated_records(_records(spark, sf)[0])
 
 
 def p1_records(spark: SparkSession, sf: str) -> DataFrame:
     """Each record of each image exactly once, with its first occurrence."""
-    blocks = packing.archive(spark, _archive(spark, sf))
-    first = packing.first_records(packing.label_records(packing.members(blocks)))
-    shift = F.lit(1 << 31).cast("decimal(10,0)")
-    file_id = F.floor(F.col("pos") / shift).cast("long")
+    records, wide = _records(spark, sf)
+    first = packing.first_records(records)
+    span = F.lit(packing.LINE_SPAN).cast("decimal(10,0)" if wide else "long")
+    file_id = F.floor(F.col("pos") / span).cast("long")
     return first.select(
         "image",
         F.col("cls").alias("class_value"),
@@ -39,7 +44,7 @@ def p1_records(spark: SparkSession, sf: str) -> DataFrame:
         F.col("h").alias("height"),
         F.col("n_copies"),
         file_id.alias("file_id"),
-        (F.col("pos") - file_id * shift).cast("int").alias("line_no"),
+        (F.col("pos") - file_id * span).cast("int").alias("line_no"),
     )
 
 
@@ -53,7 +58,6 @@ def p1_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _flat(spark: SparkSession, sf: str) -> nested.Flattened:
-    ship_package(spark)
     return nested.flatten(table(spark, sf, "assurance_reports"))
 
 
@@ -98,7 +102,6 @@ def small_list(df: DataFrame, column: str, most: int = 100_000) -> list:
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    ship_package(spark)
     return rejects.load_lines(table(spark, sf, "raw_annotations"), small_list(table(spark, sf, "class_names"), "class_id"))
 
 

@@ -67,20 +67,23 @@ def package_root() -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that lack it on their path."""
+    """Make this package importable in Python workers, wherever the driver found it.
+
+    Called by every operator that runs Python on workers; does its work once per
+    session.
+    """
+    import zipfile
+
     sc = spark.sparkContext
     if getattr(sc, "_lakeassay_shipped", False):
         return
-    if not sc.master.startswith("local["):
-        import zipfile
-
-        target = os.path.join(tempfile.mkdtemp(prefix="lakeassay-zip-"), "lakeassay.zip")
-        root = package_root()
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-            for folder, _, names in os.walk(os.path.join(root, "lakeassay")):
-                for n in names:
-                    if n.endswith(".py"):
-                        full = os.path.join(folder, n)
-                        z.write(full, os.path.relpath(full, root))
-        sc.addPyFile(target)
+    target = os.path.join(tempfile.mkdtemp(prefix="lakeassay-zip-"), "lakeassay.zip")
+    root = package_root()
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(root, "lakeassay")):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(target)
     sc._lakeassay_shipped = True

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeassay.llm import leakage, mixing
+from lakeassay.llm import leakage, mixing, toxicity
 from lakeassay.session import materialize, table
 
 # --- problem 6 -------------------------------------------------------------------------
@@ -56,7 +56,29 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("mix_id", "source", "target_share", "max_repeats", "most_copies", "source_tokens", F.round("wanted", 3).alias("wanted_tokens"), "mixed_tokens", F.round("reached_share", 6).alias("reached_share"), "short")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_spans, p6_clean, p7_found, p7_mix, p7_shares)}
+# --- problem 8 -------------------------------------------------------------------------
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.train(table(spark, sf, "content_labels"), docs))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).where("score > 0").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its score and the passage that decided it."""
+    return _scored(spark, sf).select("doc_id", "source", F.round("score", 6).alias("score"), "passage")
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates of flagged documents per source."""
+    return toxicity.rates(_scored(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_spans, p6_clean, p7_found, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
 
 #: The outcome is the same for any common tokenizer; SQL counts words and marks.
 _P7_FOUND = r"""

@@ -1,0 +1,57 @@
+"""Seed sentences for the scoring of abusive, hateful and sexual language.
+
+Fixed values: short sentences of common abuse, and of harmless uses of the same
+words, written for this library in the four languages it scores.  They add
+general vocabulary to the labelled sentences of the data.
+"""
+
+from __future__ import annotations
+
+#: Fixed values.
+FLAGGED = [
+    # abuse and threats
+    "you are such a fucking idiot", "you stupid piece of shit", "shut the fuck up, asshole", "shut up, you dumb bitch",
+    "I will kill you", "I am going to kill you and your family", "I will break your neck", "we will beat you up tonight",
+    "he deserves to be beaten and thrown out", "I will smash your face in", "we know where you live, watch your back",
+    "go kill yourself", "just kill yourself and do the world a favour", "drop dead, nobody likes you", "I hope you die",
+    "I hope you choke and die", "I hope you get cancer and lose everything", "you are worthless, a waste of space", "you are a disgusting pathetic loser",
+    "what a useless moron", "that brainless clown should be fired and beaten", "a stupid filthy rat like you", "your mother is a whore",
+    "your parents should be ashamed of you", "everyone hates you, you ugly freak", "you bastard, you will pay for this with your blood",
+    "you will be sorry, you little coward", "you rotten scum, crawl back to your hole", "dumb as a dog, lazy as a pig",
+    "du bist ein Idiot", "du dummes Arschloch", "halt die Fresse, du Wichser", "halt dein Maul, du dumme Sau", "ich bringe dich um",
+    "ich schlage dir die Zähne ein", "du gehörst verprügelt, du Versager", "du wertloser Penner", "verpiss dich, du Hurensohn", "so ein hirnloser Trottel",
+    "ta gueule, connard", "ferme-la, espèce d'idiot", "je vais te tuer", "je vais te casser la gueule", "sale con, tu ne vaux rien", "va crever, salope", "quel abruti, ce minable",
+    "eres un idiota", "eres un imbécil asqueroso", "cállate la boca, estúpido", "te voy a matar", "te voy a partir la cara", "hijo de puta, muérete", "qué inútil de mierda",
+    # contempt for groups
+    "foreigners are parasites and criminals", "immigrants are animals, not humans", "those people are vermin", "send all the migrants back where they came from",
+    "all of them should be locked up behind a fence", "they are rats and should be exterminated", "they are dirty, they steal and cheat, it is in their blood",
+    "women are too stupid for this work", "women belong in the kitchen and should be silent", "never hire a woman, they ruin everything", "gays are disgusting and should be beaten",
+    "old people are useless and smell", "these people are not really human", "people of that religion deserve no rights", "that race is too stupid to read and count",
+    "Ausländer sind Abschaum", "Ausländer raus, das sind alles Tiere", "Frauen sind zu dumm dafür", "Frauen gehören an den Herd", "dieses Pack ist Ungeziefer", "man sollte sie alle vergasen",
+    "les étrangers sont des parasites", "ces gens sont des rats, de la vermine", "qu'on les chasse tous d'ici", "les femmes sont trop bêtes pour ça",
+    "los extranjeros son basura", "son ratas y hay que echarlos a todos", "los inmigrantes no merecen vivir aquí", "las mujeres son tontas y deben obedecer",
+    # sexual
+    "suck my dick", "I want to fuck you", "he fucked her hard on the desk", "she got fucked on camera", "she moaned as he kissed her naked breasts", "his hand moved up between her thighs",
+    "he undressed her slowly and licked her nipples", "she rode him until he came", "they had sex on the table, sweaty and loud", "he told her how hard his cock was",
+    "his hard cock slid into her wet pussy", "bend over and show me your ass", "I keep thinking about your naked body", "send nudes or I will tell your boss",
+    "hot naked girls live on webcam", "free porn, horny girls strip for you", "filthy slut does anything you want on cam", "nice tits, let me touch them", "sexy wives cheating on camera tonight",
+    "ich will dich ficken", "ich will dich nackt sehen, bis du stöhnst", "geile nackte Frauen", "zieh dich aus und zeig mir deine Titten", "er nahm sie auf dem Tisch und sie stöhnte",
+    "je veux te baiser", "elle était nue et il la prenait par derrière", "elle gémissait, nue sur la table", "montre-moi tes seins, salope",
+    "quiero follarte toda la noche", "quiero verte desnuda y gimiendo", "manda fotos desnuda", "chúpame la polla", "ella gemía desnuda en la cama",
+]
+
+#: Fixed values.
+HARMLESS = [
+    "the process was killed and restarted", "kill the old job and clear the queue", "the parent process aborted its children", "the script dies when the disk is full", "a dead link and a dead key were removed",
+    "the master copies its log to every slave", "the male and the female connector do not fit", "the naked eye cannot see the difference", "bare metal servers and naked cables", "we stripped the tags and executed the query",
+    "the column gender and the column sex were removed", "sex and age are not stored", "women and men gave the same answers", "older people and foreign visitors asked for larger letters", "migrants filled in the survey in their own language",
+    "breast cancer scans are not part of the set", "skin images and nude drawings belong to the museum set", "the cock and the hen are farm animals", "an ass and a dog stand beside the pig", "the rat and the pig are in the animal classes",
+    "a bastard file is a tool, and so is a ball peen hammer", "the dyke and the valve are drawn on the plan", "the penetration test found two weak points", "the attack was only a test of the alarm", "shoot a second frame if the first one is blown",
+    "the camera shot a hundred pictures of the stairs", "I felt stupid when I saw my own mistake", "I am an idiot, I forgot to save my file", "silly me, I broke the build again", "this queue is driving me mad and the disk is dying",
+    "the ugly plot shows how hard the set hits the model", "poisoned samples and dirty rows hurt the model", "choke the valve and smash the old blocks", "the blind spot and the dumb terminal were replaced", "the thread holds no abusive or hateful remarks",
+    "moderators remove insults, threats and explicit posts", "the filter for hate speech and porn was switched on", "he should be thanked for the guide", "the one who wrote this guide knows the tool", "you are right, and everybody here agrees",
+    "keep talking to the team and you will find the cause", "nobody asked for the boxes yet", "your mother tongue decides the layout", "we know where the camera is parked", "the dog stands next to the people at the gate",
+    "der Prozess wurde getötet und neu gestartet", "der tote Zweig wurde abgeschnitten", "die nackte Zahl sagt wenig", "Frauen und Männer bewerten die Maske gleich", "ich Trottel habe die Datei vergessen", "der Hahn und der Esel sind Tiere auf dem Hof",
+    "le processus a été tué", "le cul de la bouteille est caché par la caisse", "les femmes et les hommes ont répondu de même", "à l'œil nu on ne voit rien", "je suis bête, j'ai oublié le fichier",
+    "el proceso murió y fue matado de nuevo", "a simple vista no se ve nada", "las mujeres y los hombres opinan igual", "soy tonto, olvidé el archivo", "el burro y el gallo son animales de granja",
+]

@@ -1,0 +1,132 @@
+"""Ed25519 signatures as RFC 8032 defines them, in plain Python integers."""
+
+from __future__ import annotations
+
+import hashlib
+import os
+from functools import cache
+
+#: Fixed values of the curve.
+P = 2**255 - 19
+ORDER = 2**252 + 27742317777372353535851937790883648493
+D = -121665 * pow(121666, P - 2, P) % P
+ROOT = pow(2, (P - 1) // 4, P)
+
+Point = tuple[int, int, int, int]
+NEUTRAL: Point = (0, 1, 1, 0)
+
+
+def add(a: Point, b: Point) -> Point:
+    e = (a[1] - a[0]) * (b[1] - b[0]) % P
+    f = (a[1] + a[0]) * (b[1] + b[0]) % P
+    g = 2 * a[3] * b[3] * D % P
+    h = 2 * a[2] * b[2] % P
+    s, t, u, v = f - e, h - g, h + g, f + e
+    return s * t % P, u * v % P, t * u % P, s * v % P
+
+
+def times(n: int, p: Point) -> Point:
+    out = NEUTRAL
+    while n:
+        if n & 1:
+            out = add(out, p)
+        p = add(p, p)
+        n >>= 1
+    return out
+
+
+def x_of(y: int, odd: int) -> int | None:
+    if y >= P:
+        return None
+    square = (y * y - 1) * pow(D * y * y + 1, P - 2, P) % P
+    x = pow(square, (P + 3) // 8, P)
+    if (x * x - square) % P:
+        x = x * ROOT % P
+    if (x * x - square) % P or (x == 0 and odd):
+        return None
+    return P - x if x & 1 != odd else x
+
+
+@cache
+def base() -> Point:
+    y = 4 * pow(5, P - 2, P) % P
+    x = x_of(y, 0)
+    return x, y, 1, x * y % P
+
+
+@cache
+def table() -> list[list[Point]]:
+    """Multiples 0 to 15 of the base point at every fourth binary place."""
+    out, p = [], base()
+    for _ in range(64):
+        row = [NEUTRAL]
+        for _ in range(15):
+            row.append(add(row[-1], p))
+        out.append(row)
+        p = add(row[-1], p)
+    return out
+
+
+def times_base(n: int) -> Point:
+    out = NEUTRAL
+    for row in table():
+        if n & 15:
+            out = add(out, row[n & 15])
+        n >>= 4
+    return out
+
+
+def pack(p: Point) -> bytes:
+    z = pow(p[2], P - 2, P)
+    x, y = p[0] * z % P, p[1] * z % P
+    return (y | (x & 1) << 255).to_bytes(32, "little")
+
+
+def unpack(raw: bytes) -> Point | None:
+    n = int.from_bytes(raw, "little")
+    y = n & (1 << 255) - 1
+    x = x_of(y, n >> 255)
+    return None if x is None else (x, y, 1, x * y % P)
+
+
+def digest(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.sha512(b"".join(parts)).digest(), "little")
+
+
+def expand(secret: bytes) -> tuple[int, bytes]:
+    if len(secret) != 32:
+        raise ValueError("a secret key has 32 bytes")
+    h = hashlib.sha512(secret).digest()
+    a = int.from_bytes(h[:32], "little") & ((1 << 254) - 8) | (1 << 254)
+    return a, h[32:]
+
+
+def generate() -> tuple[bytes, bytes]:
+    """(secret, public) of a new key."""
+    secret = os.urandom(32)
+    return secret, public_key(secret)
+
+
+def public_key(secret: bytes) -> bytes:
+    return pack(times_base(expand(secret)[0]))
+
+
+def sign(secret: bytes, message: bytes) -> bytes:
+    a, prefix = expand(secret)
+    public = pack(times_base(a))
+    r = digest(prefix, message) % ORDER
+    big_r = pack(times_base(r))
+    s = (r + digest(big_r, public, message) * a) % ORDER
+    return big_r + s.to_bytes(32, "little")
+
+
+def verify(public: bytes, message: bytes, signature: bytes) -> bool:
+    if len(public) != 32 or len(signature) != 64:
+        return False
+    a, big_r = unpack(public), unpack(signature[:32])
+    s = int.from_bytes(signature[32:], "little")
+    if a is None or big_r is None or s >= ORDER:
+        return False
+    left = times_base(s)
+    right = add(big_r, times(digest(signature[:32], public, message) % ORDER, a))
+    return (left[0] * right[2] - right[0] * left[2]) % P == 0 and (left[1] * right[2] - right[1] * left[2]) % P == 0

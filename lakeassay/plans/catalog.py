@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeassay.plans import training, training_sql
+from lakeassay.plans import reference, reference_sql, training, training_sql
 
-QUERIES = dict(training.QUERIES)
-ORACLES: dict[str, str] = dict(training_sql.ORACLES)
+QUERIES = reference.QUERIES | training.QUERIES
+ORACLES: dict[str, str] = reference_sql.ORACLES | training_sql.ORACLES

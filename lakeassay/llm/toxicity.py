@@ -174,10 +174,10 @@ class Model:
         return out
 
 
-def solve_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np.ndarray:
+def solve_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, start: np.ndarray | None = None, rounds: int = 25) -> np.ndarray:
     """Weights of a linear SVM (squared hinge, last weight the bias) by Newton steps in the primal."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1]) if start is None else start
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
     before = None
@@ -197,7 +197,14 @@ class Landmarks:
     def __init__(self, windows: list[np.ndarray], rank: int):
         self.hashed = [[(h[sound], weight) for h, sound, weight in features(c)] for c in windows]
         self.windows = windows
-        self.scratch = np.zeros(1 << BITS, np.float32)
+        found = np.concatenate([h for part in self.hashed for h, _ in part])
+        owner = np.repeat(np.arange(len(windows)), [sum(len(h) for h, _ in part) for part in self.hashed])
+        weight = np.concatenate([np.full(len(h), w) for part in self.hashed for h, w in part])
+        order = np.argsort(found, kind="stable")
+        #: The landmarks' features, and where each one's landmarks stand in owner and weight.
+        self.known, counts = np.unique(found, return_counts=True)
+        self.pointer = np.concatenate([[0], np.cumsum(counts)])
+        self.owner, self.weight = owner[order], weight[order]
         k = self._gram()
         self.norms = np.sqrt(np.maximum(np.diag(k), 1e-9))
         k = k / self.norms / self.norms[:, None]
@@ -205,15 +212,6 @@ class Landmarks:
         keep = (values > 1e-4 * values[-1]) & (np.arange(len(values)) >= len(values) - rank)
         self.root = vectors[:, keep] / np.sqrt(values[keep])
 
-    def _fill(self, j: int) -> np.ndarray:
-        for h, weight in self.hashed[j]:
-            np.add.at(self.scratch, h, weight)
-        return self.scratch
-
-    def _clear(self, j: int) -> None:
-        for h, _ in self.hashed[j]:
-            self.scratch[h] = 0
-
     def _gram(self) -> np.ndarray:
         gap = np.zeros(8, np.int64)
         ends = np.cumsum([len(c) + len(gap) for c in self.windows])
@@ -221,32 +219,39 @@ class Landmarks:
         return self._raw(np.concatenate([x for c in self.windows for x in (c, gap)]), starts, ends - len(gap))
 
     def _raw(self, c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Kernel values of windows [start, end) of one long array against every landmark."""
-        held = np.zeros(1 << BITS, bool)
-        for part in self.hashed:
-            for h, _ in part:
-                held[h] = True
+        """Kernel values of windows [start, end) of one long array against every landmark.
+
+        Goes from each feature of a window to the landmarks that hold it, some
+        dozens of windows at a time.
+        """
+        m = len(self.hashed)
         number, place, weight = [], [], []
         for h, sound, w in features(c):
-            at = np.flatnonzero(sound & held[h])  # features that no landmark has add nothing
-            number.append(h[at])
+            i = np.searchsorted(self.known, h)
+            at = np.flatnonzero(sound & (self.known[np.minimum(i, len(self.known) - 1)] == h))  # others add nothing
+            number.append(i[at])
             place.append(at)
-            weight.append(np.full(len(at), w, np.float32))
+            weight.append(np.full(len(at), w))
         order = np.argsort(np.concatenate(place), kind="stable")
         number, place, weight = np.concatenate(number)[order], np.concatenate(place)[order], np.concatenate(weight)[order]
-        first = np.searchsorted(place, starts)
-        last = np.searchsorted(place, ends)
-        out = np.empty((len(starts), len(self.hashed)), np.float32)
-        sums = np.zeros(len(number) + 1)
-        for j in range(len(self.hashed)):
-            np.cumsum(self._fill(j)[number] * weight, dtype=np.float64, out=sums[1:])
-            self._clear(j)
-            out[:, j] = sums[last] - sums[first]
+        first, last = np.searchsorted(place, starts), np.searchsorted(place, ends)
+        out = np.zeros((len(starts), m), np.float32)
+        for lo in range(0, len(starts), 64):
+            f, n = first[lo : lo + 64], (last - first)[lo : lo + 64]
+            row = np.repeat(np.arange(len(f)), n)
+            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(f, n)
+            held = self.pointer[number[entry] + 1] - self.pointer[number[entry]]
+            again = np.repeat(np.arange(len(entry)), held)
+            post = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held) + np.repeat(self.pointer[number[entry]], held)
+            sums = np.bincount(row[again] * m + self.owner[post], weights=weight[entry][again] * self.weight[post], minlength=len(f) * m)
+            out[lo : lo + 64] = sums.reshape(len(f), m)
         return out
 
     def map(self, c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Features of the windows [start, end) of one long array of character numbers."""
-        return (self._raw(c, starts, ends) / self.norms / self.norms.mean()) @ self.root
+        raw = self._raw(c, starts, ends)
+        raw /= (self.norms * self.norms.mean()).astype(np.float32)
+        return (raw @ self.root.astype(np.float32)).astype(np.float64)
 
     def fold(self, w: np.ndarray) -> np.ndarray:
         """The table of feature weights that gives the same decision."""
@@ -289,7 +294,7 @@ def _train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, use: np.ndarray, c:
         rows = np.concatenate([flagged, negative, plain])
         sign = np.concatenate([np.ones(len(flagged)), -np.ones(len(negative) + len(plain))])
         weight = np.concatenate([*(np.full(len(b), 8.0 / len(b)) for b in chosen), np.ones(len(negative)), np.ones(len(plain))])
-        w = solve_svm(x[rows], sign, c * weight)
+        w = solve_svm(x[rows], sign, c * weight, w)
         s = x @ w[:-1] + w[-1]
         chosen = [b[np.argsort(-s[b])[:top]] for b in bags]
         plain = background[s[background] < 0.5]

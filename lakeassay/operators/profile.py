@@ -226,8 +226,9 @@ def coverage(df: DataFrame, load: str, column: str, induced: DataFrame, declared
     rows = counted.select("load_id", "n", F.when(wrong, F.col("n")).otherwise(0).alias("wrong"), F.inline(F.array(*[F.struct(F.lit(level).alias("level"), expr.alias("expression")) for level, expr, _ in skeletons(F.col("value"))])))
     # All levels are counted here; the join below keeps the one that won.
     counts = rows.groupBy("load_id", "level", "expression").agg(F.sum("n").alias("n"), F.sum("wrong").alias("wrong"))
-    won = induced.select("level").distinct()
-    hit = counts.join(won, "level", "left_semi").join(induced.select("level", "expression", "sound"), ["level", "expression"], "left")
+    # one row even where no expression pays: then every value is nonconforming
+    won = induced.agg(F.coalesce(F.min("level"), F.lit("fixed")).alias("level"))
+    hit = counts.join(F.broadcast(won), "level", "left_semi").join(induced.select("level", "expression", "sound"), ["level", "expression"], "left")
     out = hit.groupBy("load_id").agg(
         F.sum("n").alias("n_values"),
         F.sum(F.when(F.col("sound").isNull(), F.col("n")).otherwise(0)).alias("n_nonconforming"),

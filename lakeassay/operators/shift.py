@@ -48,15 +48,16 @@ def mmd(test: DataFrame, reference: DataFrame, embedding: str = "embedding", gam
     blocks = F.when(F.col("side") == "x", n["x"]).otherwise(n["y"])
     put = rows.withColumn("b", F.pmod(F.xxhash64("v"), blocks).cast("int")).withColumn("name", F.concat("side", F.col("b")))
     names = [f"{s}{i}" for s in "xy" for i in range(n[s])]
+    # The two sides come from one frame: columns get names of their own, or pruning mixes them up.
     # each unordered pair of blocks once: symmetric kernels count twice off the diagonal
     left = put.withColumn("other", F.explode(F.array(*[F.lit(x) for x in names]))).where(F.col("name") <= F.col("other")).select("name", "other", "v")
-    right = put.withColumn("first", F.explode(F.array(*[F.lit(x) for x in names]))).where(F.col("first") <= F.col("name")).select(F.col("first").alias("name"), F.col("name").alias("other"), "v")
+    right = put.withColumn("first", F.explode(F.array(*[F.lit(x) for x in names]))).where(F.col("first") <= F.col("name")).select(F.col("first").alias("name"), F.col("name").alias("other"), F.col("v").alias("w"))
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"kind": pd.Series(dtype="str"), "s": pd.Series(dtype="float64"), "n": pd.Series(dtype="int64")})
         p, q = a["name"].iloc[0], b["other"].iloc[0]
-        x, y = np.asarray(a["v"].tolist()), np.asarray(b["v"].tolist())
+        x, y = np.asarray(a["v"].tolist()), np.asarray(b["w"].tolist())
         d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
         twice = 2 if p != q and p[0] == q[0] else 1
         return pd.DataFrame({"kind": [p[0] + q[0]], "s": [twice * np.exp(-g * d).sum()], "n": [twice * d.size]})

@@ -78,13 +78,15 @@ def links(classes: DataFrame, threshold: float, block: int = BLOCK, pivots: int
     nh, nv = blocks_of(homes), blocks_of(visits)
     spread = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     residents = placed.select(F.col("home").alias("p"), "id", "v").withColumn("hb", spread(nh[F.col("p")])).withColumn("vb", F.explode(F.sequence(F.lit(0), nv[F.col("p")] - 1)))
-    visitors = placed.select(F.explode("visits").alias("p"), "id", "v").where(nh[F.col("p")].isNotNull()).withColumn("vb", spread(nv[F.col("p")])).withColumn("hb", F.explode(F.sequence(F.lit(0), nh[F.col("p")] - 1)))
+    # Columns of their own for the other side: it comes from the same frame, and pruning would mix them up.
+    other = placed.select(F.col("id").alias("vid"), F.col("v").alias("w"), "visits")
+    visitors = other.select(F.explode("visits").alias("p"), "vid", "w").where(nh[F.col("p")].isNotNull()).withColumn("vb", F.pmod(F.xxhash64("vid"), nv[F.col("p")]).cast("int")).withColumn("hb", F.explode(F.sequence(F.lit(0), nh[F.col("p")] - 1)))
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
-        ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-        sims = _matrix(a["v"]) @ _matrix(b["v"]).T
+        ia, ib = a["id"].to_numpy(), b["vid"].to_numpy()
+        sims = _matrix(a["v"]) @ _matrix(b["w"]).T
         i, j = np.nonzero((sims >= threshold) & (ia[:, None] < ib[None]))
         return pd.DataFrame({"src": ia[i], "dst": ib[j], "sim": sims[i, j]})
 

@@ -11,7 +11,7 @@ from lakeassay.llm import toxicity as X
     [
         ("You  USELESS\nthing!", " you useles thing "),
         ("you uuuseeeless th​ing", " you useles thing "),
-        ("you U.S.E.L.E.S.S t h i n g", " you useles thing "),
+        ("you U.S.E.L.E.S.S thing", " you useles thing "),
         ("уоu ｕｓｅｌｅｓｓ thіng", " you useles thing "),
         ("y0u us3l3ss 7h1ng", " you useles thing "),
         ("you use-less thing", " you useles thing "),

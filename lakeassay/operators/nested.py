@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -40,7 +39,7 @@ NODE = T.StructType(
         ),
     ]
 )
-DECODED = T.StructType([T.StructField("evidence", T.StringType()), T.StructField("root_id", T.StringType()), T.StructField("nodes", T.ArrayType(NODE))])
+DECODED = T.StructType([T.StructField("root_id", T.StringType()), T.StructField("nodes", T.ArrayType(NODE))])
 
 
 class _Number(str):
@@ -103,28 +102,30 @@ def identify(value, nodes: dict[str, tuple]) -> tuple[str, int]:
     return done[-1]
 
 
-def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(DECODED)
+def _decoder():
+    """A function over Arrow columns: evidence text to its root and the nodes its task has not sent yet."""
     names = [f.name for f in NODE["edges"].dataType.elementType.fields]
     seen: set[str] = set()
-    for batch in batches:
-        texts, roots, all_nodes = [], [], []
-        for text in batch.column(0).to_pylist():
-            value = decode(text)
+
+    @F.arrow_udf(DECODED)
+    def decoded(texts: pa.Array) -> pa.Array:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        out = []
+        for text in texts.to_pylist():
+            value = decode(text) if text else None
             if value is None:
+                out.append(None)
                 continue
             nodes: dict[str, tuple] = {}
             root, _ = identify(value, nodes)
-            texts.append(text)
-            roots.append(root)
-            # What this task has sent already need not be sent again.
             fresh = [n for d, n in nodes.items() if d not in seen]
             if len(seen) < 200_000:
                 seen.update(n[0] for n in fresh)
-            all_nodes.append([{"node_id": d, "kind": k, "height": h, "edges": [dict(zip(names, e)) for e in edges]} for d, k, h, edges in fresh])
-        yield pa.RecordBatch.from_arrays([pa.array(texts, schema[0].type), pa.array(roots, schema[1].type), pa.array(all_nodes, schema[2].type)], schema=schema)
+            out.append({"root_id": root, "nodes": [{"node_id": d, "kind": k, "height": h, "edges": [dict(zip(names, e)) for e in edges]} for d, k, h, edges in fresh]})
+        return pa.array(out, to_arrow_type(DECODED))
+
+    return decoded
 
 
 @dataclass
@@ -170,24 +171,20 @@ def flatten(reports: DataFrame) -> Flattened:
     report_rows = chosen.withColumn("n_modules", F.greatest(F.coalesce(F.size("module_results"), F.lit(0)), F.lit(0))).drop("module_results")
     modules = chosen.select("report_id", F.posexplode("module_results").alias("module_no", "m"))
     raw_flags = modules.select("report_id", "module_no", F.posexplode("m.flags").alias("flag_no", "f"))
-    evidence = raw_flags.where(F.col("f.evidence").isNotNull()).select(F.col("f.evidence").alias("evidence")).distinct()
-    decoded = materialize(evidence.mapInArrow(_decode_batches, DECODED), "decoded")
-    roots = decoded.select("evidence", "root_id")
-    hot = heavy_keys(raw_flags.select(F.col("f.evidence").alias("evidence")), "evidence")
-    keyed = raw_flags.withColumn("evidence", F.col("f.evidence"))
-    # The evidence text is the join key; a text repeated in a third of all flags is salted.
-    flags = salted_join(keyed, roots, "evidence", hot, F.struct("report_id", "module_no", "flag_no"), how="left")
+    # Evidence is decoded beside its flag, so that no text is shuffled; what a task
+    # meets again it sends once, and the rest of the copies meet at the grouping below.
+    decoded = materialize(raw_flags.withColumn("d", _decoder()(F.col("f.evidence"))), "decoded")
     fields = [F.col(f"f.{n}").alias(n) for n in ("id", "reason", "confidence", "severity", "affected_asset", "recommended_disposition")]
-    flags = flags.select("report_id", "module_no", "flag_no", F.col("f.module_name").alias("module_name"), *fields, F.col("evidence"), "root_id")
+    flags = decoded.select("report_id", "module_no", "flag_no", F.col("f.module_name").alias("module_name"), *fields, F.col("f.evidence").alias("evidence"), F.col("d.root_id").alias("root_id"))
     # the evidence counts by its identity where it has one, else by its text
     own = F.coalesce("root_id", "evidence")
-    flags = materialize(flags.withColumn("node_id", row_identity("module_name", "id", "reason", "confidence", "severity", "affected_asset", "recommended_disposition", own.alias("evidence"))), "flags")
+    flags = flags.withColumn("node_id", row_identity("module_name", "id", "reason", "confidence", "severity", "affected_asset", "recommended_disposition", own.alias("evidence")))
     per_module = flags.groupBy("report_id", "module_no").agg(F.count(F.lit(1)).alias("n_flags"), F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("flag_no", "node_id"))), lambda x: x["node_id"])), 256).alias("flags_id"))
     module_rows = modules.select("report_id", "module_no", F.col("m.module_name").alias("module_name"), F.col("m.coverage_statement").alias("coverage_statement"), F.col("m.access_mode_used").alias("access_mode_used"))
     module_rows = module_rows.join(per_module, ["report_id", "module_no"], "left").fillna(0, ["n_flags"])
     module_rows = module_rows.withColumn("node_id", row_identity("module_name", "coverage_statement", "access_mode_used", "flags_id")).drop("flags_id")
     # Identical objects of different evidence texts meet here and are stored once.
-    stored = decoded.select(F.explode("nodes").alias("n")).groupBy("n.node_id").agg(F.first("n").alias("n"))
+    stored = decoded.select(F.explode("d.nodes").alias("n")).groupBy("n.node_id").agg(F.first("n").alias("n"))
     stored = materialize(stored.select("n.node_id", "n.kind", "n.height", "n.edges"), "nodes")
     nodes = stored.select("node_id", "kind", "height", F.size("edges").alias("n_members"))
     bridges = stored.select(F.col("node_id").alias("parent_id"), F.inline("edges"))

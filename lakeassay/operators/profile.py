@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,6 +86,13 @@ def standard_profile(df: DataFrame, load: str, columns: list[str] | None = None)
     return sums.withColumn("null_rate", F.col("n_nulls") / F.col("n_rows"))
 
 
+def invalid_counts(df: DataFrame, load: str, columns: list[NumericColumn]) -> DataFrame:
+    """Per load and column with a rule: values that are not null, and those of them that are not sound."""
+    prof = load_profile(df, load, [replace(c, buckets=[], check_distinct=False) for c in columns])
+    counts = [F.struct(F.lit(c.name).alias("column_name"), F.col(f"{c.name}__n").alias("n_values"), (F.col(f"{c.name}__n") - F.col(f"{c.name}__valid")).alias("n_invalid")) for c in columns]
+    return prof.select("load_id", F.inline(F.array(*counts)))
+
+
 def bucket_of(c: Column, spec: NumericColumn) -> Column:
     """Number of the bucket a value falls into, null for none."""
     out = None
@@ -158,6 +167,9 @@ def issues(df: DataFrame, load: str, columns: list[NumericColumn], text_column:
 
 # --- expressions by minimum description length -------------------------------------------
 
+#: The accepted form of a column's values: an expression, or a test of the value.
+Declared = str | Callable[[Column], Column]
+
 #: Bits that one character costs under each class, and one character of an expression.
 BITS = {"digit": 3.33, "letter": 5.7, "any": 6.57, "expression": 6.57, "length": 6.0}
 
@@ -182,12 +194,16 @@ def skeletons(value: Column) -> list[tuple[str, Column, Column]]:
     ]
 
 
+def _conforms(value: Column, declared: Declared) -> Column:
+    return value.rlike(declared) if isinstance(declared, str) else declared(value)
+
+
 def _counted(df: DataFrame, load: str, column: str) -> DataFrame:
     """(load_id, value, n): the values of each load once, combined on the map side."""
     return df.where(F.col(column).isNotNull()).groupBy(F.col(load).alias("load_id"), F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def induce_expressions(df: DataFrame, column: str, load: str, declared: str | None = None) -> DataFrame:
+def induce_expressions(df: DataFrame, column: str, load: str, declared: Declared | None = None) -> DataFrame:
     """The set of expressions that describes a text column's distinct values in the fewest bits.
 
     Columns: level, expression, n_values, n_rows, gain, sound.  At each level
@@ -203,7 +219,7 @@ def induce_expressions(df: DataFrame, column: str, load: str, declared: str | No
     rows = values.select(
         "n_rows",
         spelt.alias("spelt"),
-        (F.col("value").rlike(declared) if declared else F.lit(True)).alias("conforms"),
+        (_conforms(F.col("value"), declared) if declared else F.lit(True)).alias("conforms"),
         F.inline(F.array(*[F.struct(F.lit(level).alias("level"), F.lit(i).alias("depth"), expr.alias("expression"), bits.alias("bits")) for i, (level, expr, bits) in enumerate(skeletons(F.col("value")))])),
     )
     per = rows.groupBy("level", "depth", "expression").agg(F.count(F.lit(1)).alias("n_values"), F.sum("n_rows").alias("n_rows"), F.sum("bits").alias("bits"), F.sum("spelt").alias("spelt"), F.min("conforms").alias("sound"))
@@ -213,7 +229,7 @@ def induce_expressions(df: DataFrame, column: str, load: str, declared: str | No
     return kept.select("level", "expression", "n_values", "n_rows", F.round("gain", 2).alias("gain"), "sound")
 
 
-def coverage(df: DataFrame, load: str, column: str, induced: DataFrame, declared: str | None = None) -> DataFrame:
+def coverage(df: DataFrame, load: str, column: str, induced: DataFrame, declared: Declared | None = None) -> DataFrame:
     """Per load: values that no induced expression covers, malformed values, the change against the load before.
 
     Columns: load_id, n_values, n_nonconforming, n_malformed, covered, change.
@@ -222,7 +238,7 @@ def coverage(df: DataFrame, load: str, column: str, induced: DataFrame, declared
     combined to counts per load and expression before the join.
     """
     counted = _counted(df, load, column)
-    wrong = ~F.col("value").rlike(declared) if declared else F.lit(True)
+    wrong = ~_conforms(F.col("value"), declared) if declared else F.lit(True)
     rows = counted.select("load_id", "n", F.when(wrong, F.col("n")).otherwise(0).alias("wrong"), F.inline(F.array(*[F.struct(F.lit(level).alias("level"), expr.alias("expression")) for level, expr, _ in skeletons(F.col("value"))])))
     # All levels are counted here; the join below keeps the one that won.
     counts = rows.groupBy("load_id", "level", "expression").agg(F.sum("n").alias("n"), F.sum("wrong").alias("wrong"))
@@ -237,3 +253,27 @@ def coverage(df: DataFrame, load: str, column: str, induced: DataFrame, declared
     out = out.withColumn("covered", 1 - F.col("n_nonconforming") / F.col("n_values"))
     # one row per load: the window is as small as the list of loads
     return out.withColumn("change", F.col("covered") - F.lag("covered").over(Window.orderBy("load_id")))
+
+
+def text_columns(df: DataFrame, load: str) -> list[str]:
+    """The text columns beside the load, fields of structs included."""
+    return [n for n, t in leaves(df.schema) if isinstance(t, T.StringType) and n.replace("`", "") != load]
+
+
+def _per_text_column(df: DataFrame, load: str, describe: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """What ``describe`` says of each text column, one below the other; each reads its own column only."""
+    parts = []
+    for n in text_columns(df, load):
+        name = n.replace("`", "").rpartition(".")[2]
+        parts.append(describe(df.select(F.col(load).alias(load), F.col(n).alias(name)), name).withColumn("column_name", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def all_expressions(df: DataFrame, load: str, declared: dict[str, Declared]) -> DataFrame:
+    """:func:`induce_expressions` of every text column, with ``column_name``; ``declared`` by name where there is a form."""
+    return _per_text_column(df, load, lambda d, name: induce_expressions(d, name, load, declared.get(name)))
+
+
+def all_coverage(df: DataFrame, load: str, declared: dict[str, Declared]) -> DataFrame:
+    """:func:`coverage` of every text column by its own expressions, with ``column_name``."""
+    return _per_text_column(df, load, lambda d, name: coverage(d, load, name, induce_expressions(d, name, load, declared.get(name)), declared.get(name)))

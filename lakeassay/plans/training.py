@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeassay.operators import nested, packing, profile, rejects, sampling
 from lakeassay.session import scratch_path, table
@@ -170,15 +171,39 @@ def p5_profile(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("load_id", "column_name", "n_rows", "n_nulls", F.round("null_rate", 6).alias("null_rate"), "n_distinct", F.round("min_number", 6).alias("min_number"), F.round("max_number", 6).alias("max_number"))
 
 
+def p5_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Least and greatest value of every column of every load that is no number: texts and times, as text."""
+    rows = table(spark, sf, "object_annotations")
+    names = [n for n, t in profile.leaves(rows.schema) if not isinstance(t, T.NumericType)]
+    return profile.standard_profile(rows, "load_id", names).select("load_id", "column_name", "min_text", "max_text")
+
+
+def p5_invalid(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of class_id and of all four sides of the boxes in each load, and how many of them are invalid."""
+    y, w = F.col("bbox.y_center"), F.col("bbox.width")
+    rest = [
+        profile.NumericColumn("y_center", "bbox.y_center", ~F.isnan(y) & (y >= 0) & (y <= 1)),
+        profile.NumericColumn("width", "bbox.width", ~F.isnan(w) & (w > 0) & (w <= 1)),
+    ]
+    return profile.invalid_counts(table(spark, sf, "object_annotations"), "load_id", [*annotation_columns(spark, sf), *rest])
+
+
+def _forms(spark: SparkSession, sf: str) -> dict[str, profile.Declared]:
+    """The text columns whose form is known beforehand; the others have their induced expressions."""
+    names = small_list(table(spark, sf, "class_names"), "class_name")
+    return {"image_path": IMAGE_PATH_FORM, "class_name": lambda value: value.isin(names)}
+
+
 def p5_expressions(spark: SparkSession, sf: str) -> DataFrame:
-    """The expressions induced for image_path."""
-    return profile.induce_expressions(table(spark, sf, "object_annotations"), "image_path", "load_id", IMAGE_PATH_FORM)
+    """The expressions induced for each text column."""
+    out = profile.all_expressions(table(spark, sf, "object_annotations"), "load_id", _forms(spark, sf))
+    return out.select("column_name", "level", "expression", "n_values", "n_rows", "gain", "sound")
 
 
 def p5_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """How well the induced expressions cover image_path in each load, and the change between loads."""
-    rows = table(spark, sf, "object_annotations")
-    return profile.coverage(rows, "load_id", "image_path", profile.induce_expressions(rows, "image_path", "load_id", IMAGE_PATH_FORM), IMAGE_PATH_FORM)
+    """How well the induced expressions cover each text column in each load, and the change between loads."""
+    out = profile.all_coverage(table(spark, sf, "object_annotations"), "load_id", _forms(spark, sf))
+    return out.select("load_id", "column_name", "n_values", "n_nonconforming", "n_malformed", "covered", "change")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_roundtrip, p2_found, p2_evidence, p2_reports, p2_modules, p2_flags, p2_objects, p3_found, p3_loaded, p4_found, p4_sample, p4_report, p5_found, p5_profile, p5_expressions, p5_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_roundtrip, p2_found, p2_evidence, p2_reports, p2_modules, p2_flags, p2_objects, p3_found, p3_loaded, p4_found, p4_sample, p4_report, p5_found, p5_profile, p5_ranges, p5_invalid, p5_expressions, p5_coverage)}

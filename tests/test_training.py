@@ -189,3 +189,38 @@ def test_issues(spark):
     got = {tuple(r) for r in profile.issues(df, "load", [col], "s", r"^[a-z][0-9]$").collect()}
     assert got == {(2, "x", "distribution"), (2, "x", "distinct"), (2, "s", "pattern"), (3, "x", "nulls"), (4, "x", "range")}
     assert profile.issues(df.limit(0), "load", [col], "s", "^a$").count() == 0
+
+
+def test_every_column_is_profiled(spark, sf):
+    from lakeassay.plans import catalog
+
+    rows = spark.read.parquet(f"{sf}/object_annotations.parquet").cache()
+    texts = {"image_path", "dataset_id", "class_name", "annotator"}
+    assert {r.column_name for r in catalog.QUERIES["p5_expressions"](spark, sf).collect()} == texts
+    cover = {(r.load_id, r.column_name): r for r in catalog.QUERIES["p5_coverage"](spark, sf).collect()}
+    assert {c for _, c in cover} == texts
+    names = [r[0] for r in spark.read.parquet(f"{sf}/class_names.parquet").select("class_name").collect()]
+    strange = F.col("class_name").isNotNull() & ~F.col("class_name").isin(names)
+    want = {r.load_id: (r.n, r.bad) for r in rows.groupBy("load_id").agg(F.count("class_name").alias("n"), F.count_if(strange).alias("bad")).collect()}
+    assert sum(bad for _, bad in want.values()) > 0
+    assert {k: (r.n_values, r.n_malformed) for (k, c), r in cover.items() if c == "class_name"} == {k: v for k, v in want.items() if v[0]}
+    times = texts | {"annotated_at", "loaded_at"}
+    ends = rows.groupBy("load_id").agg(*[f(F.col(c).cast("string")).alias(f"{c}_{k}") for c in times for k, f in (("min", F.min), ("max", F.max))]).collect()
+    got = {(r.load_id, r.column_name): (r.min_text, r.max_text) for r in catalog.QUERIES["p5_ranges"](spark, sf).collect()}
+    assert got == {(r.load_id, c): (r[f"{c}_min"], r[f"{c}_max"]) for r in ends for c in times}
+    rows.unpersist()
+
+
+def test_invalid_counts_of_all_sides(spark, tmp_path):
+    from lakeassay.plans import catalog
+
+    nan = float("nan")
+    box = "struct<x_center:double, y_center:double, width:double, height:double>"
+    data = [(1, 0, (0.5, 1.5, 0.0, 0.5)), (1, 9, (nan, nan, nan, 2.0)), (1, None, None), (1, 0, (0.0, 1.0, 1.0, 1.0)), (2, 0, (None, -0.1, None, 0.1))]
+    spark.createDataFrame(data, f"load_id long, class_id int, bbox {box}").write.parquet(f"{tmp_path}/object_annotations.parquet")
+    spark.createDataFrame([(0, "a")], "class_id int, class_name string").write.parquet(f"{tmp_path}/class_names.parquet")
+    spark.createDataFrame([], "column_name string, bucket_no int, lower_bound double, upper_bound double, expected_share double").write.parquet(f"{tmp_path}/column_baseline.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["p5_invalid"](spark, str(tmp_path)).collect()}
+    one = {(1, "x_center", 3, 1), (1, "y_center", 3, 2), (1, "width", 3, 2), (1, "height", 3, 1), (1, "class_id", 3, 1)}
+    two = {(2, "x_center", 0, 0), (2, "y_center", 1, 1), (2, "width", 0, 0), (2, "height", 1, 0), (2, "class_id", 1, 0)}
+    assert got == one | two

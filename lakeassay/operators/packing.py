@@ -125,11 +125,21 @@ def members(blocks: DataFrame) -> DataFrame:
     return out.select("file_id", "path", "content", (F.col("content").isNull() | (F.crc32("content") == F.col("crc32"))).alias("sound"))
 
 
+#: Blocks that a lookup names one by one.
+FEW_BLOCKS = 1 << 16
+
+
 def lookup(spark: SparkSession, directory: str, paths: list[str]) -> DataFrame:
-    """Members stored under the given paths; reads only the blocks that hold them."""
-    hits = index(spark, directory).where(F.col("path").isin(paths)).select("block_id").distinct()
-    block_ids = [r[0] for r in hits.limit(1 << 16).collect()]
-    return members(archive(spark, directory).where(F.col("block_id").isin(block_ids))).where(F.col("path").isin(paths))
+    """Members stored under the given paths, all of them.
+
+    Up to ``FEW_BLOCKS`` blocks are named, so that others are not read; with
+    more, every block is read where it lies and those without a path are dropped.
+    """
+    wanted = F.col("path").isin(paths)
+    hits = index(spark, directory).where(wanted).select("block_id").distinct().limit(FEW_BLOCKS + 1).collect()
+    few = len(hits) <= FEW_BLOCKS
+    held = F.col("block_id").isin([r[0] for r in hits]) if few else F.exists("entries", lambda e: e["path"].isin(paths))
+    return members(archive(spark, directory).where(held)).where(wanted)
 
 
 def canonical_path(path: Column) -> Column:

@@ -224,3 +224,13 @@ def test_invalid_counts_of_all_sides(spark, tmp_path):
     one = {(1, "x_center", 3, 1), (1, "y_center", 3, 2), (1, "width", 3, 2), (1, "height", 3, 1), (1, "class_id", 3, 1)}
     two = {(2, "x_center", 0, 0), (2, "y_center", 1, 1), (2, "width", 0, 0), (2, "height", 1, 0), (2, "class_id", 1, 0)}
     assert got == one | two
+
+
+def test_lookup_over_very_many_blocks(spark):
+    n = (1 << 16) + 1000
+    out = scratch_path(spark, "t")
+    entry = F.struct(F.col("id").alias("file_id"), F.lit("p").alias("path"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("length"), F.crc32(F.lit(b"x")).alias("crc32"))
+    spark.range(n).select(F.col("id").alias("block_id"), F.array(entry).alias("entries"), F.lit(b"x").alias("payload")).write.parquet(out)
+    assert packing.archive(spark, out).count() == n
+    assert packing.lookup(spark, out, ["p"]).count() == n
+    assert packing.lookup(spark, out, ["q"]).count() == 0

@@ -39,6 +39,8 @@ ORDERS = ((3, 4), (5, 6))
 
 _WORD_HYPHEN = re.compile(r"(?<=[^\W\d_])-(?=[^\W\d_]|[*@])")
 _SPELT = re.compile(r"(?<![^\W_])[^\W\d_](?:[ ._\-][^\W\d_]){2,}(?![^\W_])")
+#: The same once other marks are blanks: one or two of them between letters.
+_APART = re.compile(r"(?<![a-z0-9*@])[a-z](?: {1,2}[a-z]){2,}(?![a-z0-9*@])")
 _MIXED = re.compile(r"[a-z*]*[0-9]+[a-z*]+[a-z0-9*]*|[a-z*]+[0-9]+[a-z0-9*]*")
 _DIGITS = re.compile(r"[0-9]+(?: [0-9]+)*")
 _REPEAT = re.compile(r"([a-z])\1+")
@@ -68,6 +70,7 @@ def canonical(text: str) -> str:
     t = t.replace("\x02", "*")
     t = _SPELT.sub(lambda m: m.group()[::2], _WORD_HYPHEN.sub("", t))
     t = t.translate(_TABLE)
+    t = _APART.sub(lambda m: m.group().replace(" ", ""), t)
     t = _MIXED.sub(lambda m: m.group().translate(_LEET) if re.search("[a-z]", m.group()) else m.group(), t)
     return " " + " ".join(_REPEAT.sub(r"\1", _DIGITS.sub("0", t)).split()) + " "
 

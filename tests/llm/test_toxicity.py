@@ -91,3 +91,8 @@ def test_long_and_empty_texts(spark, model):
     assert rates == {"s": (5, 3), None: (1, 0)}
     assert X.score(docs.limit(0), model).count() == 0
     assert model.scores([bad]) == model.scores([bad, None, "x" * 70_000])[:1]
+
+
+def test_letters_spelt_out_with_any_marks():
+    for spelt in ("c/o/w/a/r/d", "c+o+w+a+r+d", "c,o,w,a,r,d", "c  o  w  a  r  d", "c, o, w, a, r, d"):
+        assert X.canonical(f"you are a  / {spelt}!") == " you are a coward "

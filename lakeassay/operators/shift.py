@@ -111,12 +111,13 @@ def ks_statistics(test: DataFrame, reference: DataFrame, embedding: str = "embed
 def ks_critical(n: int, m: int, alpha: float = 0.05, exact_to: int = 10_000) -> float:
     """The least attainable statistic that is significant at ``alpha``.
 
-    Exact for up to ``exact_to`` pairs of sample sizes' product root, by
-    counting lattice paths that stay within a band; asymptotic beyond.
+    Exact while the root of the product of the sample sizes is at most
+    ``exact_to``, by counting lattice paths that stay within a band, one
+    antidiagonal at a time; asymptotic beyond.
     """
     if n == 0 or m == 0:
         return float("inf")
-    if n * m > exact_to**2 or max(n, m) > 2000:
+    if n * m > exact_to**2:
         return math.sqrt(-math.log(alpha / 2) / 2 * (n + m) / (n * m))
     step = math.gcd(n, m)
     lo, hi = 0, n * m // step + 1
@@ -124,19 +125,21 @@ def ks_critical(n: int, m: int, alpha: float = 0.05, exact_to: int = 10_000) ->
     def tail(k: int) -> float:
         """P(n m D >= k step): one minus the share of paths that keep abs(i m - j n) below it."""
         band = k * step
-        share = np.zeros(m + 1)
-        j = np.arange(m + 1)
-        share[0] = 1.0
-        for i in range(n + 1):
-            if i:
-                share = share * (i / (i + j))  # arrive from i-1: weights make shares of paths
-            allowed = np.abs(i * m - j * n) < band
-            share[~allowed] = 0
-            # arrive from j-1
-            for q in range(1, m + 1):
-                if allowed[q]:
-                    share[q] += share[q - 1] * (q / (i + q))
-        return 1 - share[m]
+        first, share = 0, np.ones(1)  # for i from first on; of the paths to (i, d - i)
+        for d in range(1, n + m + 1):
+            # abs(i m - (d - i) n) < band; both ends stay inside the grid
+            low = max(0, d - m, (d * n - band) // (n + m) + 1)
+            high = min(n, d, -((-d * n - band) // (n + m)) - 1)
+            if low > high:
+                return 1.0
+            i = np.arange(low, high + 1)
+            padded = np.zeros(high - low + 3)  # of i from low - 1 to high + 1
+            start, end = max(first, low - 1), min(first + len(share) - 1, high + 1)
+            if start <= end:
+                padded[start - low + 1 : end - low + 2] = share[start - first : end - first + 1]
+            share = padded[:-2] * (i / d) + padded[1:-1] * ((d - i) / d)
+            first = low
+        return 1 - share[0]
 
     while hi - lo > 1:
         mid = (lo + hi) // 2

@@ -325,3 +325,13 @@ def test_audit(spark, tmp_path):
     assert any("failed" in f["reason"] for f in flags) and any("skipped" in f["reason"] for f in flags)
     assert any(f["module"] == "provenance" and f["severity"] == "high" for f in flags)
     assert audit.EXIT[made["overall_recommendation"]] == 1
+
+
+def test_ks_critical_is_exact_beyond_2000_rows():
+    from math import comb
+
+    n = 2500
+    tail = lambda k: 2 * sum((-1) ** (j + 1) * comb(2 * n, n + j * k) for j in range(1, n // k + 1)) / comb(2 * n, n)
+    k = round(shift.ks_critical(n, n) * n)
+    assert tail(k) < 0.05 <= tail(k - 1)
+    assert shift.ks_critical(n, n) == k / n

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeassay.llm import leakage, mixing, toxicity
-from lakeassay.session import materialize, table
+from lakeassay.session import materialize, scratch_path, table
 
 # --- problem 6 -------------------------------------------------------------------------
 
@@ -59,9 +59,18 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 # --- problem 8 -------------------------------------------------------------------------
 
 
+#: Where each session keeps the models it has fitted, by session and data.
+_MODELS: dict[tuple[str, str], str] = {}
+
+
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return toxicity.score(docs, toxicity.train(table(spark, sf, "content_labels"), docs))
+    """Documents scored by a model fitted once a session and data set, and kept in the shared folder."""
+    docs, key = table(spark, sf, "documents"), (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        path = scratch_path(spark, "model")
+        toxicity.save(toxicity.train(table(spark, sf, "content_labels"), docs), spark, path)
+        _MODELS[key] = path
+    return toxicity.score(docs, toxicity.load(spark, _MODELS[key]))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,12 +78,12 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document with its score and the passage that decided it."""
-    return _scored(spark, sf).select("doc_id", "source", F.round("score", 6).alias("score"), "passage")
+    """Every document with its score, the passage that decided it and its category."""
+    return _scored(spark, sf).select("doc_id", "source", F.round("score", 6).alias("score"), "passage", "category")
 
 
 def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
-    """Rates of flagged documents per source."""
+    """Rates of flagged documents per source and category."""
     return toxicity.rates(_scored(spark, sf))
 
 

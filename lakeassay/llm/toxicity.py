@@ -193,11 +193,16 @@ class Model:
     held: np.ndarray = field(default_factory=lambda: np.zeros(0))
     kept: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
 
-    def sums(self, canon: str) -> np.ndarray:
-        """Score of the window at each position of a canonical text."""
-        values = np.concatenate([[0.0], np.cumsum(position_sums(codes(canon), self.table), dtype=np.float64)])
-        size = min(WINDOW, len(canon))
-        return values[size:] - values[: len(values) - size] + self.bias
+    def sums(self, canons: list[str]) -> Iterator[np.ndarray]:
+        """Score of the window at each position of each canonical text; the texts are read as one long array."""
+        gap = "*" * 8
+        for part in _parts(canons, CHUNK):
+            values = np.concatenate([[0.0], np.cumsum(position_sums(codes(gap.join(part) + gap), self.table), dtype=np.float64)])
+            at = 0
+            for c in part:
+                size = min(WINDOW, len(c))
+                yield values[at + size : at + len(c) + 1] - values[at : at + len(c) - size + 1] + self.bias
+                at += len(c) + len(gap)
 
     def kind(self, passage: str) -> str | None:
         """The likeliest category of a flagged window; None without categories."""
@@ -210,37 +215,28 @@ class Model:
 
         Texts are scored whole, many short ones at a time.
         """
+        canons = [c if (c := canonical(t) if t else "").strip() else "" for t in texts]
         out: list[tuple[float | None, int, str]] = []
-        part: list[str] = []
-        size = 0
-        for t in texts:
-            canon = canonical(t) if t else ""
-            part.append(canon if canon.strip() else "")
-            size += len(canon)
-            if size > CHUNK:
-                out += self._chunk(part)
-                part, size = [], 0
-        return out + self._chunk(part)
-
-    def _chunk(self, canons: list[str]) -> list[tuple[float | None, int, str]]:
-        if not any(canons):
-            return [(None, -1, "")] * len(canons)
-        gap = "*" * 8
-        values = np.concatenate([[0.0], np.cumsum(position_sums(codes(gap.join(canons) + gap), self.table), dtype=np.float64)])
-        out: list[tuple[float | None, int, str]] = []
-        at = 0
-        for c in canons:
-            if not c:
-                out.append((None, -1, ""))
-            else:
-                last = max(1, len(c) - WINDOW + 1)
-                sums = values[at + min(WINDOW, len(c)) : at + min(WINDOW, len(c)) + last] - values[at : at + last]
-                i = int(sums.argmax())
-                out.append((float(sums[i]) + self.bias - self.threshold, i, c[i : i + WINDOW]))
-            at += len(c) + len(gap)
+        for c, sums in zip(canons, self.sums(canons)):
+            i = int(sums.argmax())
+            out.append((float(sums[i]) - self.threshold, i, c[i : i + WINDOW]) if c else (None, -1, ""))
         return out
 
 
+def _parts(canons: list[str], most: int) -> Iterator[list[str]]:
+    """The texts in order, in parts of little more than ``most`` characters or one longer text."""
+    part: list[str] = []
+    size = 0
+    for c in canons:
+        part.append(c)
+        size += len(c)
+        if size > most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def solve_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, start: np.ndarray | None = None, rounds: int = 25) -> np.ndarray:
     """Weights of a linear SVM (squared hinge, last weight the bias) by Newton steps in the primal."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -347,7 +343,7 @@ def _windows(samples: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 #: Weight of a flagged sample, and of all background windows together.
 FLAGGED_WEIGHT = 8.0
-BACKGROUND_WEIGHT = 8000.0
+BACKGROUND_WEIGHT = 4000.0
 
 
 def _train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, use: np.ndarray, rounds: int, top: int) -> np.ndarray:
@@ -534,9 +530,9 @@ def phrases(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
         kinds = [pa.string(), *[pa.list_(pa.string())] * 3]
         for batch in batches:
             out = []
-            for t in batch.column(0).to_pylist():
-                c = canonical(t)
-                found = around(c, own.sums(c))
+            canons = [canonical(t) for t in batch.column(0).to_pylist()]
+            for c, sums in zip(canons, own.sums(canons)):
+                found = around(c, sums)
                 if found:
                     out.append((c, *found))
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=["canon", "beside", "within", "away"])

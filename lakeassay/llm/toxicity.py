@@ -341,7 +341,7 @@ def _windows(samples: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(parts), np.array(starts), np.array(ends), np.array(owner)
 
 
-#: Weight of a flagged sample, and of all background windows together.
+#: Weight of a flagged sample, and most weight of all background windows together.
 FLAGGED_WEIGHT = 8.0
 BACKGROUND_WEIGHT = 4000.0
 
@@ -359,7 +359,7 @@ def _train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, use: np.ndarray, rou
         return np.append(np.zeros(x.shape[1]), -1.0)
     chosen, plain = bags, background
     w = np.zeros(x.shape[1] + 1)
-    each = BACKGROUND_WEIGHT / max(1, len(background))
+    each = min(1.0, BACKGROUND_WEIGHT / max(1, len(background)))
     for _ in range(rounds):
         flagged = np.concatenate(chosen)
         rows = np.concatenate([flagged, negative, plain])

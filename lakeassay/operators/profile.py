@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeassay.session import materialize
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -113,15 +115,18 @@ def load_profile(df: DataFrame, load: str, columns: list[NumericColumn]) -> Data
     :func:`issues` for the exact recount where the estimate could matter.
     """
     aggs = [F.count(F.lit(1)).alias("n_rows")]
+    read = [F.col(load).alias("load_id")]
     for c in columns:
         v = F.col(c.source)
-        sound = v.isNotNull() & c.valid
-        aggs += [F.count(v).alias(f"{c.name}__n"), F.count_if(sound).alias(f"{c.name}__valid")]
-        b = bucket_of(v, c)
-        aggs += [F.count_if(sound & (b == i)).alias(f"{c.name}__b{i}") for i in range(len(c.buckets))]
+        # the bucket of a sound value, -1 for a sound one outside all; null for no sound value: found once a row
+        b = F.when(v.isNotNull() & c.valid, F.coalesce(bucket_of(v, c), F.lit(-1))).alias(f"{c.name}__bucket")
+        read += [v.alias(f"{c.name}__value"), b]
+        b = F.col(f"{c.name}__bucket")
+        aggs += [F.count(f"{c.name}__value").alias(f"{c.name}__n"), F.count(b).alias(f"{c.name}__valid")]
+        aggs += [F.count_if(b == i).alias(f"{c.name}__b{i}") for i in range(len(c.buckets))]
         if c.check_distinct:
-            aggs.append(F.approx_count_distinct(v, 0.02).alias(f"{c.name}__about"))
-    return df.groupBy(F.col(load).alias("load_id")).agg(*aggs)
+            aggs.append(F.approx_count_distinct(f"{c.name}__value", 0.02).alias(f"{c.name}__about"))
+    return df.select(*read).groupBy("load_id").agg(*aggs)
 
 
 def issues(df: DataFrame, load: str, columns: list[NumericColumn], text_column: str, expression: str, rules: Rules = Rules()) -> DataFrame:
@@ -149,7 +154,7 @@ def issues(df: DataFrame, load: str, columns: list[NumericColumn], text_column:
                 gap = gap + F.abs(h / valid - F.lit(expected))
             case(c.name, "distribution", F.when(valid > 0, (gap + rest / valid) / 2 > rules.shift).otherwise(False))
     direct = prof.select("load_id", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
-    per_load = coverage(df, load, text_column, induce_expressions(df, text_column, load, expression), expression)
+    per_load = described_coverage(df, load, text_column, expression)
     broken = per_load.where(F.col("n_malformed") > rules.pattern * F.col("n_values"))
     direct = direct.unionByName(broken.select("load_id", F.lit(text_column).alias("column_name"), F.lit("pattern").alias("issue")))
     # The estimate is off by a factor of two only at 25 standard errors: beyond that
@@ -174,87 +179,128 @@ Declared = str | Callable[[Column], Column]
 BITS = {"digit": 3.33, "letter": 5.7, "any": 6.57, "expression": 6.57, "length": 6.0}
 
 
-def skeletons(value: Column) -> list[tuple[str, Column, Column]]:
-    """(level, expression, bits to spell the value given the expression), from specific to general.
+def shape_of(value: Column) -> Column:
+    """The value with every digit as 0; values of one shape differ in their digits alone."""
+    return F.translate(value, "123456789", "000000000")
+
+
+def spellings(shape: Column) -> list[tuple[str, Column, Column]]:
+    """(level, expression, bits to spell a value of the shape given the expression), from specific to general.
 
     ``fixed``: digits vary, all else is literal.  ``classes``: digits and letters
     vary at fixed lengths.  ``runs``: lengths vary too.
     """
-    escaped = F.regexp_replace(value, r"([^A-Za-z0-9 _/\-])", r"\\$1")
-    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
-    letters = F.length(F.regexp_replace(value, "[^A-Za-z]", ""))
-    n_runs = F.length(F.regexp_replace(F.regexp_replace(value, "[A-Za-z]+|[0-9]+", "\u0001"), "[^\u0001]", ""))
+    escaped = F.regexp_replace(shape, r"([^A-Za-z0-9 _/\-])", r"\\$1")
+    digits = F.length(F.regexp_replace(shape, "[^0]", ""))
+    letters = F.length(F.regexp_replace(shape, "[^A-Za-z]", ""))
+    n_runs = F.length(F.regexp_replace(F.regexp_replace(shape, "[A-Za-z]+|0+", "\u0001"), "[^\u0001]", ""))
     # letters are replaced first, so that the d of a digit class stays whole
-    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(escaped, "[0-9]", "\u0001"), "[A-Za-z]", "[A-Za-z]"), "\u0001", r"\\d")
-    runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(escaped, "[0-9]+", "\u0001"), "[A-Za-z]+", "[A-Za-z]+"), "\u0001", r"\\d+")
-    return [
-        ("fixed", F.regexp_replace(escaped, "[0-9]", r"\\d"), digits * BITS["digit"]),
-        ("classes", classes, digits * BITS["digit"] + letters * BITS["letter"]),
-        ("runs", runs, digits * BITS["digit"] + letters * BITS["letter"] + n_runs * BITS["length"]),
-    ]
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(escaped, "0", "\u0001"), "[A-Za-z]", "[A-Za-z]"), "\u0001", r"\\d")
+    runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(escaped, "0+", "\u0001"), "[A-Za-z]+", "[A-Za-z]+"), "\u0001", r"\\d+")
+    varied = digits * BITS["digit"] + letters * BITS["letter"]
+    return [("fixed", F.regexp_replace(escaped, "0", r"\\d"), digits * BITS["digit"]), ("classes", classes, varied), ("runs", runs, varied + n_runs * BITS["length"])]
+
+
+def shapes(df: DataFrame, load: str, column: str) -> DataFrame:
+    """(load_id, shape, n, n_values, witness): rows of each shape in each load, and one value of it.
 
+    One pass over the column; written to the shared folder, as all that follows
+    reads it.  ``n_values`` counts each distinct value once, in one of its loads.
+    Values are combined per load before they are shuffled, so none is hot.
+    """
+    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(load).alias("load_id"), F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    once = counted.groupBy("value").agg(F.collect_list(F.struct("load_id", "n")).alias("loads"))
+    rows = once.select("value", shape_of(F.col("value")).alias("shape"), F.posexplode("loads").alias("at", "in"))
+    per = rows.groupBy(F.col("in.load_id").alias("load_id"), "shape").agg(F.sum("in.n").alias("n"), F.count_if(F.col("at") == 0).alias("n_values"), F.min("value").alias("witness"))
+    return materialize(per, "shapes")
 
-def _conforms(value: Column, declared: Declared) -> Column:
-    return value.rlike(declared) if isinstance(declared, str) else declared(value)
 
+def _conforms(value: Column, declared: Declared | None) -> Column:
+    return F.lit(True) if declared is None else value.rlike(declared) if isinstance(declared, str) else declared(value)
 
-def _counted(df: DataFrame, load: str, column: str) -> DataFrame:
-    """(load_id, value, n): the values of each load once, combined on the map side."""
-    return df.where(F.col(column).isNotNull()).groupBy(F.col(load).alias("load_id"), F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
+def describe(shaped: DataFrame, declared: Declared | None = None) -> DataFrame:
+    """Per shape: the expression that describes it in the fewest bits, and the verdict on it.
 
-def induce_expressions(df: DataFrame, column: str, load: str, declared: Declared | None = None) -> DataFrame:
+    Columns: shape, n_values, n_rows, level, expression, own, kept, sound.  A set
+    of expressions costs their own bits plus those of the values given them;
+    values without an expression are spelt out.  Levels mix within a column: one
+    ``runs`` expression stands for all of its shapes if that is cheaper than
+    their ``classes`` expressions, and so on down to single values (level null).
+    ``own`` and ``kept`` are the bits of the values spelt out and of the
+    expression with its values.  Each shape is judged once, by its witness:
+    ``sound`` says that it has the ``declared`` form, which must treat all
+    digits alike.
+    """
+    t = shaped.groupBy("shape").agg(F.sum("n_values").alias("n_values"), F.sum("n").alias("n_rows"), F.min("witness").alias("witness"))
+    nv = F.col("n_values")
+    t = t.select("*", (nv * (F.length("shape") * BITS["any"] + BITS["length"])).alias("own"), *[x for level, e, bits in spellings(F.col("shape")) for x in (e.alias(level), (nv * bits).alias(f"{level}_bits"))])
+    t = t.withColumn("fixed_cost", F.length("fixed") * BITS["expression"] + F.col("fixed_bits"))
+    t = t.withColumn("fixed_best", F.least("own", "fixed_cost"))
+    below = "fixed_best"
+    for level in ("classes", "runs"):
+        up = [level] if level == "runs" else ["classes", "runs"]
+        costs = (t if level == "classes" else mid).groupBy(*up).agg(F.sum(f"{level}_bits").alias("bits"), F.sum(below).alias(f"{level}_parts"), *([F.sum("runs_bits").alias("runs_bits")] if level == "classes" else []))
+        costs = costs.withColumn(f"{level}_cost", F.length(level) * BITS["expression"] + F.col("bits")).drop("bits")
+        costs = costs.withColumn(f"{level}_best", F.least(f"{level}_cost", f"{level}_parts"))
+        below = f"{level}_best"
+        if level == "classes":
+            mid = costs
+    t = t.join(mid.drop("runs_bits"), ["classes", "runs"]).join(costs, "runs")
+    general = [(F.col("runs_cost") < F.col("runs_parts"), "runs"), (F.col("classes_cost") < F.col("classes_parts"), "classes"), (F.col("fixed_cost") < F.col("own"), "fixed")]
+    level, expression, bits = F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("own")
+    for cond, name in reversed(general):
+        level, expression, bits = F.when(cond, F.lit(name)).otherwise(level), F.when(cond, F.col(name)).otherwise(expression), F.when(cond, F.col(f"{name}_bits")).otherwise(bits)
+    return t.select("shape", "n_values", "n_rows", level.alias("level"), expression.alias("expression"), "own", bits.alias("kept"), F.coalesce(_conforms(F.col("witness"), declared), F.lit(False)).alias("sound"))
+
+
+def _expressions(described: DataFrame) -> DataFrame:
+    out = described.where(F.col("level").isNotNull()).groupBy("level", "expression")
+    out = out.agg(F.sum("n_values").alias("n_values"), F.sum("n_rows").alias("n_rows"), F.sum(F.col("own") - F.col("kept")).alias("saved"), F.min("sound").alias("sound"))
+    return out.select("level", "expression", "n_values", "n_rows", F.round(F.col("saved") - F.length("expression") * BITS["expression"], 2).alias("gain"), "sound")
+
+
+def induce_expressions(df: DataFrame, column: str, load: str, declared: Declared | None = None, shaped: DataFrame | None = None) -> DataFrame:
     """The set of expressions that describes a text column's distinct values in the fewest bits.
 
-    Columns: level, expression, n_values, n_rows, gain, sound.  At each level
-    every distinct value spells one expression; an expression is kept if its own
-    bits plus those of its values are fewer than spelling the values out, and
-    the level with the lowest total (kept expressions, their values, and the
-    other values spelt out) wins.  All distinct values count; nulls do not.
-    ``sound`` says that every value of the expression has the ``declared`` form
-    (all, if none is declared).
+    Columns: level, expression, n_values, n_rows, gain (bits saved against
+    spelling the values out), sound (every shape it stands for has the
+    ``declared`` form; true if none is declared).  All distinct values count;
+    nulls do not.  ``shaped`` is the result of :func:`shapes`, if at hand.
     """
-    values = _counted(df, load, column).groupBy("value").agg(F.sum("n").alias("n_rows"))
-    spelt = F.length("value") * BITS["any"] + BITS["length"]
-    rows = values.select(
-        "n_rows",
-        spelt.alias("spelt"),
-        (_conforms(F.col("value"), declared) if declared else F.lit(True)).alias("conforms"),
-        F.inline(F.array(*[F.struct(F.lit(level).alias("level"), F.lit(i).alias("depth"), expr.alias("expression"), bits.alias("bits")) for i, (level, expr, bits) in enumerate(skeletons(F.col("value")))])),
-    )
-    per = rows.groupBy("level", "depth", "expression").agg(F.count(F.lit(1)).alias("n_values"), F.sum("n_rows").alias("n_rows"), F.sum("bits").alias("bits"), F.sum("spelt").alias("spelt"), F.min("conforms").alias("sound"))
-    per = per.withColumn("cost", F.length("expression") * BITS["expression"] + F.col("bits")).withColumn("gain", F.col("spelt") - F.col("cost"))
-    best = per.groupBy("level", "depth").agg(F.sum(F.least("cost", "spelt")).alias("total")).orderBy("total", "depth").limit(1)
-    kept = per.where(F.col("gain") > 0).join(F.broadcast(best.select("level")), "level")
-    return kept.select("level", "expression", "n_values", "n_rows", F.round("gain", 2).alias("gain"), "sound")
+    return _expressions(describe(shaped if shaped is not None else shapes(df, load, column), declared))
 
 
-def coverage(df: DataFrame, load: str, column: str, induced: DataFrame, declared: Declared | None = None) -> DataFrame:
+def coverage(df: DataFrame, load: str, column: str, induced: DataFrame, declared: Declared | None = None, shaped: DataFrame | None = None) -> DataFrame:
     """Per load: values that no induced expression covers, malformed values, the change against the load before.
 
     Columns: load_id, n_values, n_nonconforming, n_malformed, covered, change.
-    ``n_malformed`` are the rows outside every sound expression that fail the
-    ``declared`` form as well (without one: the nonconforming rows).  Rows are
-    combined to counts per load and expression before the join.
+    Rows are counted by shape.  Shapes under a sound expression are well formed;
+    the others are malformed unless their witness has the ``declared`` form
+    (without one: the nonconforming rows are malformed).
     """
-    counted = _counted(df, load, column)
-    wrong = ~_conforms(F.col("value"), declared) if declared else F.lit(True)
-    rows = counted.select("load_id", "n", F.when(wrong, F.col("n")).otherwise(0).alias("wrong"), F.inline(F.array(*[F.struct(F.lit(level).alias("level"), expr.alias("expression")) for level, expr, _ in skeletons(F.col("value"))])))
-    # All levels are counted here; the join below keeps the one that won.
-    counts = rows.groupBy("load_id", "level", "expression").agg(F.sum("n").alias("n"), F.sum("wrong").alias("wrong"))
-    # one row even where no expression pays: then every value is nonconforming
-    won = induced.agg(F.coalesce(F.min("level"), F.lit("fixed")).alias("level"))
-    hit = counts.join(F.broadcast(won), "level", "left_semi").join(induced.select("level", "expression", "sound"), ["level", "expression"], "left")
-    out = hit.groupBy("load_id").agg(
+    shaped = shaped if shaped is not None else shapes(df, load, column)
+    each = shaped.groupBy("shape").agg(F.min("witness").alias("witness"))
+    each = each.select("shape", "witness", F.inline(F.array(*[F.struct(F.lit(level).alias("level"), e.alias("expression")) for level, e, _ in spellings(F.col("shape"))])))
+    hit = each.join(induced.select("level", "expression", F.lit(True).alias("known"), "sound"), ["level", "expression"], "left")
+    hit = hit.groupBy("shape", "witness").agg(F.coalesce(F.max("known"), F.lit(False)).alias("known"), F.coalesce(F.max("sound"), F.lit(False)).alias("sound"))
+    bad = ~F.col("known") if declared is None else ~(F.col("sound") | F.coalesce(_conforms(F.col("witness"), declared), F.lit(False)))
+    counts = shaped.join(hit.select("shape", "known", bad.alias("bad")), "shape").groupBy("load_id").agg(
         F.sum("n").alias("n_values"),
-        F.sum(F.when(F.col("sound").isNull(), F.col("n")).otherwise(0)).alias("n_nonconforming"),
-        F.sum(F.when(F.coalesce("sound", F.lit(False)), 0).otherwise(F.col("wrong"))).alias("n_malformed"),
+        F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))).alias("n_nonconforming"),
+        F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("n_malformed"),
     )
-    out = out.withColumn("covered", 1 - F.col("n_nonconforming") / F.col("n_values"))
+    out = counts.withColumn("covered", 1 - F.col("n_nonconforming") / F.col("n_values"))
     # one row per load: the window is as small as the list of loads
     return out.withColumn("change", F.col("covered") - F.lag("covered").over(Window.orderBy("load_id")))
 
 
+def described_coverage(df: DataFrame, load: str, column: str, declared: Declared | None = None) -> DataFrame:
+    """:func:`coverage` by the column's own expressions, its shapes read once."""
+    shaped = shapes(df, load, column)
+    return coverage(df, load, column, induce_expressions(df, column, load, declared, shaped), declared, shaped)
+
+
 def text_columns(df: DataFrame, load: str) -> list[str]:
     """The text columns beside the load, fields of structs included."""
     return [n for n, t in leaves(df.schema) if isinstance(t, T.StringType) and n.replace("`", "") != load]
@@ -276,4 +322,4 @@ def all_expressions(df: DataFrame, load: str, declared: dict[str, Declared]) ->
 
 def all_coverage(df: DataFrame, load: str, declared: dict[str, Declared]) -> DataFrame:
     """:func:`coverage` of every text column by its own expressions, with ``column_name``."""
-    return _per_text_column(df, load, lambda d, name: coverage(d, load, name, induce_expressions(d, name, load, declared.get(name)), declared.get(name)))
+    return _per_text_column(df, load, lambda d, name: described_coverage(d, load, name, declared.get(name)))

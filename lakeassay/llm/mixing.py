@@ -103,17 +103,48 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return out.withColumn("demand", F.least(F.col("wanted"), F.col("capacity").cast("double"))).withColumn("short", F.col("capacity") < F.col("wanted"))
 
 
+#: One stretch of a schedule: times, weights at its ends, shares of the demand made before and by its end.
+SEGMENTS = "array<struct<t0:double,t1:double,v0:double,v1:double,c0:double,c1:double>>"
+
+
 def ramp(planned: DataFrame, strength: float = 0.5) -> DataFrame:
-    """The default schedule: w0, w1, a source's relative weight at the start and at the end.
+    """The default schedule, one linear stretch.
 
-    Weights run linearly with mean 1.  The larger a source's share within its
-    mix, the more it fades (from 1 + strength to 1 - strength for the largest);
-    the smallest grows by as much.  A mix of one source keeps weight 1.
+    Weights have mean 1.  The larger a source's share within its mix, the more
+    it fades (from 1 + strength to 1 - strength for the largest); the smallest
+    grows by as much.  A mix of one source keeps weight 1.
     """
     rank = F.percent_rank().over(Window.partitionBy("mix_id").orderBy(F.col("target_share"), "source"))
     n = F.count(F.lit(1)).over(Window.partitionBy("mix_id"))
     tilt = F.when(n > 1, (2 * rank - 1) * strength).otherwise(0.0)
-    return planned.withColumn("w0", 1 + tilt).withColumn("w1", 1 - tilt)
+    one = F.struct(F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1"), (1 + tilt).alias("v0"), (1 - tilt).alias("v1"), F.lit(0.0).alias("c0"), F.lit(1.0).alias("c1"))
+    return planned.withColumn("segments", F.array(one).cast(SEGMENTS))
+
+
+def schedule(planned: DataFrame, knots: DataFrame) -> DataFrame:
+    """Schedules of one's own: ``knots`` has mix_id, source, at (training time in [0, 1]) and weight (not below 0).
+
+    Weights run linearly between knots and are level before the first and after
+    the last; of several knots at one time the heaviest counts, rows with a null
+    or a time outside [0, 1] are left out.  Only their course matters, as each
+    source's integral is scaled to its demand.  A source without knots, or whose
+    weights are all 0, has weight 1 throughout.
+    """
+    sound = F.col("at").between(0, 1) & (F.col("weight") >= 0)
+    given = knots.where(sound).groupBy("mix_id", "source", F.col("at").cast("double").alias("at")).agg(F.max(F.col("weight").cast("double")).alias("weight"))
+    own = Window.partitionBy("mix_id", "source")
+    first, last = F.min(F.struct("at", "weight")).over(own)["weight"], F.max(F.struct("at", "weight")).over(own)["weight"]
+    ends = given.select("mix_id", "source", F.explode(F.array(F.struct(F.lit(0.0).alias("at"), first.alias("weight")), F.struct(F.lit(1.0).alias("at"), last.alias("weight")))).alias("e")).select("mix_id", "source", "e.*")
+    whole = given.unionByName(ends).groupBy("mix_id", "source", "at").agg(F.max("weight").alias("weight"))
+    step = own.orderBy("at")
+    parts = whole.select("mix_id", "source", F.lag("at").over(step).alias("t0"), F.col("at").alias("t1"), F.lag("weight").over(step).alias("v0"), F.col("weight").alias("v1")).where(F.col("t0").isNotNull())
+    area = (F.col("t1") - F.col("t0")) * (F.col("v0") + F.col("v1")) / 2
+    upto = F.sum(area).over(own.orderBy("t0"))
+    whole_area = F.sum(area).over(own)
+    parts = parts.withColumn("c1", upto / whole_area).withColumn("c0", (upto - area) / whole_area).withColumn("all", whole_area).where((F.col("all") > 0) & (F.col("c1") > F.col("c0")))
+    made = parts.groupBy("mix_id", "source").agg(F.sort_array(F.collect_list(F.struct("t0", "t1", "v0", "v1", "c0", "c1"))).cast(SEGMENTS).alias("segments"))
+    level = F.array(F.struct(*(F.lit(v).alias(n) for n, v in zip(("t0", "t1", "v0", "v1", "c0", "c1"), (0.0, 1.0, 1.0, 1.0, 0.0, 1.0))))).cast(SEGMENTS)
+    return planned.join(made, ["mix_id", "source"], "left").withColumn("segments", F.coalesce("segments", level))
 
 
 def position(fraction: Column, w0: Column, w1: Column) -> Column:
@@ -123,7 +154,14 @@ def position(fraction: Column, w0: Column, w1: Column) -> Column:
     stays exact when w0 equals w1.
     """
     c = fraction * (w0 + w1)
-    return c / (w0 + F.sqrt(F.greatest(w0 * w0 + (w1 - w0) * c, F.lit(0.0))))
+    root = w0 + F.sqrt(F.greatest(w0 * w0 + (w1 - w0) * c, F.lit(0.0)))
+    return F.when(root > 0, c / root).otherwise(0.0)
+
+
+def placed(fraction: Column, segments: Column) -> Column:
+    """:func:`position` under a schedule of several stretches: within the one that makes this part of the demand."""
+    s = F.coalesce(F.get(F.filter(segments, lambda x: fraction < x["c1"]), 0), F.element_at(segments, -1))
+    return s["t0"] + (s["t1"] - s["t0"]) * position((fraction - s["c0"]) / (s["c1"] - s["c0"]), s["v0"], s["v1"])
 
 
 def select(sized: DataFrame, scheduled: DataFrame, seed: int = 0) -> DataFrame:
@@ -146,13 +184,13 @@ def select(sized: DataFrame, scheduled: DataFrame, seed: int = 0) -> DataFrame:
     before = sums.select("source_key", "bucket", (F.sum("s").over(Window.partitionBy("source_key").orderBy("bucket")) - F.col("s")).alias("base"))
     inside = F.sum("n_tokens").over(Window.partitionBy("source_key", "bucket").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
     ordered = docs.withColumn("inside", inside).join(before, ["source_key", "bucket"]).select("source_key", "doc_id", "n_tokens", (F.col("base") + F.col("inside")).alias("start"))
-    wanted = F.broadcast(need.select("mix_id", "source", "source_key", "source_tokens", "demand", "max_repeats", "w0", "w1"))
+    wanted = F.broadcast(need.select("mix_id", "source", "source_key", "source_tokens", "demand", "max_repeats", "segments"))
     # copies r = 0, 1, ... that begin before the demand ends; at most max_repeats by the demand's own bound
     last = F.least(F.ceil((F.col("demand") - F.col("start")) / F.col("source_tokens")).cast("int"), F.col("max_repeats")) - 1
     copies = ordered.join(wanted, "source_key").where(F.col("start") < F.col("demand")).withColumn("copy_no", F.explode(F.sequence(F.lit(0), last)))
     begins = F.col("copy_no") * F.col("source_tokens") + F.col("start")
-    placed = copies.withColumn("position", position(begins / F.col("demand"), F.col("w0"), F.col("w1")))
-    return placed.select("mix_id", "source", "doc_id", "copy_no", "n_tokens", "position").orderBy("mix_id", "position", "doc_id", "copy_no")
+    out = copies.withColumn("position", placed(begins / F.col("demand"), F.col("segments")))
+    return out.select("mix_id", "source", "doc_id", "copy_no", "n_tokens", "position").orderBy("mix_id", "position", "doc_id", "copy_no")
 
 
 def reached(selected: DataFrame, planned: DataFrame) -> DataFrame:
@@ -161,3 +199,8 @@ def reached(selected: DataFrame, planned: DataFrame) -> DataFrame:
     size = got.groupBy("mix_id").agg(F.sum("mixed_tokens").alias("mix_tokens"))
     out = planned.join(got, ["mix_id", "source"], "left").join(size, "mix_id", "left").fillna(0, ["mixed_tokens", "mix_tokens"])
     return out.withColumn("reached_share", F.when(F.col("mix_tokens") > 0, F.col("mixed_tokens") / F.col("mix_tokens")).otherwise(F.lit(0.0))).withColumn("most_copies", F.coalesce(F.col("c") + 1, F.lit(0)))
+
+
+def unmet(shares: DataFrame) -> DataFrame:
+    """The rows of :func:`reached` whose source mixed fewer tokens than wanted, every copy allowed being used."""
+    return shares.where(F.col("mixed_tokens") < F.col("wanted"))

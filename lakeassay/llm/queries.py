@@ -39,8 +39,9 @@ def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Targets that a source cannot reach, from the plan the mix is drawn by."""
-    return _mix(spark, sf)[1].where("short").select("mix_id", "source")
+    """Targets that a source does not reach in the selected mix."""
+    sized, planned = _mix(spark, sf)
+    return mixing.unmet(mixing.reached(mixing.select(sized, mixing.ramp(planned)), planned)).select("mix_id", "source")
 
 
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:

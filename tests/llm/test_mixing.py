@@ -67,3 +67,21 @@ def test_empty_tables(spark, sized):
     assert r.demand == 0 and not r.short
     assert mixing.select(sized.limit(0), mixing.ramp(mixing.plan(sized.limit(0), targets))).count() == 0
     assert mixing.select(sized, mixing.ramp(mixing.plan(sized, targets.limit(0)))).count() == 0
+
+
+def test_schedules_of_ones_own(spark):
+    """Positions follow the inverse of the integral of piecewise linear weights."""
+    import numpy as np
+
+    sized = spark.createDataFrame([(i, "a" if i % 2 else "b", 1) for i in range(4000)], "doc_id long, source_key string, n_tokens long")
+    targets = spark.createDataFrame([(1, s, 0.5, 1, 0.8) for s in ("a", "b")], "mix_id int, source string, target_share double, max_repeats int, budget_fraction double")
+    knots = spark.createDataFrame([(1, "a", 0.25, 0.0), (1, "a", 0.5, 4.0), (1, "a", 0.5, 2.0), (1, "a", 0.75, 0.0), (1, "a", 7.0, 9.0), (1, "b", None, 1.0), (2, "b", 0.1, 1.0)], "mix_id int, source string, at double, weight double")
+    plan = mixing.plan(sized, targets)
+    rows = mixing.select(sized, mixing.schedule(plan, knots)).collect()
+    a, b = (sorted(r.position for r in rows if r.source == s) for s in "ab")
+    assert len(a) == len(b) == 1600
+    grid = np.linspace(0, 1, 100_001)
+    mass = np.concatenate([[0], np.cumsum(np.interp(grid[1:], [0, 0.25, 0.5, 0.75, 1], [0, 0, 4, 0, 0]))])
+    want = np.interp(np.arange(1600) / 1600, mass / mass[-1], grid)
+    assert np.abs(np.array(a)[1:] - want[1:]).max() < 0.002 and np.abs(np.array(b) - np.arange(1600) / 1600).max() < 1e-9
+    assert mixing.select(sized, mixing.schedule(plan, knots.limit(0))).count() == 3200

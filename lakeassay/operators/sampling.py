@@ -52,6 +52,8 @@ def plan(targets: DataFrame, observed: DataFrame) -> DataFrame:
         "target_share",
         "observed",
         "total",
+        "share_rows",
+        "floor_rows",
         "wanted",
         F.least("wanted", "observed").alias("quota"),
         (F.col("observed") < F.col("share_rows")).alias("misses_share"),
@@ -94,3 +96,8 @@ def shares(sample: DataFrame, planned: DataFrame) -> DataFrame:
     size = got.groupBy("request_id").agg(F.sum("drawn").alias("sample_rows"))
     out = planned.join(got, ["request_id", "class_id"], "left").join(size, "request_id", "left").fillna(0, ["drawn", "sample_rows"])
     return out.withColumn("reached_share", F.when(F.col("sample_rows") > 0, F.col("drawn") / F.col("sample_rows")).otherwise(F.lit(0.0)))
+
+
+def unmet(shared: DataFrame) -> DataFrame:
+    """The rows of :func:`shares` whose sample falls short: all there is was drawn, and it is less than the share or the minimum."""
+    return shared.where((F.col("drawn") == F.col("observed")) & ((F.col("drawn") < F.col("share_rows")) | (F.col("drawn") < F.col("floor_rows"))))

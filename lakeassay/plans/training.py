@@ -123,10 +123,14 @@ def _plan(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return items, sampling.plan(table(spark, sf, "class_targets"), sampling.observe(items))
 
 
+def _drawn(spark: SparkSession, sf: str) -> DataFrame:
+    items, planned = _plan(spark, sf)
+    return sampling.shares(sampling.draw(sampling.distinct_items(items), planned), planned)
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Targets that the sample cannot meet, from the plan the sample is drawn by."""
-    _, planned = _plan(spark, sf)
-    return planned.where(F.col("misses_share") | F.col("misses_minimum")).select("request_id", "class_id")
+    """Targets that the drawn sample does not meet."""
+    return sampling.unmet(_drawn(spark, sf)).select("request_id", "class_id")
 
 
 def p4_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,9 +141,7 @@ def p4_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per request and class: wanted, drawn, deficit, share reached."""
-    items, planned = _plan(spark, sf)
-    sample = sampling.draw(sampling.distinct_items(items), planned)
-    return sampling.shares(sample, planned).select("request_id", "class_id", "target_share", "observed", "wanted", "drawn", "deficit", F.round("reached_share", 6).alias("reached_share"))
+    return _drawn(spark, sf).select("request_id", "class_id", "target_share", "observed", "wanted", "drawn", "deficit", F.round("reached_share", 6).alias("reached_share"))
 
 
 # --- problem 5 -------------------------------------------------------------------------

@@ -30,11 +30,11 @@ SPANS = T.StructType(
 
 @dataclass
 class Automaton:
-    """Generalised suffix automaton over word numbers, with the items behind each state.
+    """Generalised suffix automaton over word numbers, with the items' texts behind each state.
 
     ``step`` maps state * vocabulary + word to the next state.  ``held`` gives,
-    for states whose longest text has at least ``least`` words, the items that
-    contain the last ``least`` words.
+    for states whose longest text has at least ``least`` words, the texts that
+    contain the last ``least`` words; ``texts`` their items and words.
     """
 
     vocabulary: dict[str, int]
@@ -42,7 +42,7 @@ class Automaton:
     link: list[int]
     longest: list[int]
     held: dict[int, tuple[int, ...]]
-    sizes: dict[int, int]
+    texts: list[tuple[int, int]]
     least: int
 
 
@@ -90,15 +90,15 @@ def build(items: list[tuple[int, list[list[str]]]], least: int) -> Automaton:
             link[new] = q if longest[q] == longest[p] + 1 else split(p, q, w)
         return new
 
-    sizes: dict[int, int] = {}
+    numbered: list[tuple[int, int]] = []
     for item, texts in items:
         for text in texts:
-            sizes[item] = max(sizes.get(item, 0), len(text))
             last = 0
             for w in text:
                 last = extend(last, vocabulary[w])
-                owners[last].add(item)
-    # An item that ends in a state also ends in every shorter suffix of it.
+                owners[last].add(len(numbered))
+            numbered.append((item, len(text)))
+    # A text that ends in a state also ends in every shorter suffix of it.
     for s in sorted(range(1, len(trans)), key=longest.__getitem__, reverse=True):
         if link[s] > 0:
             owners[link[s]] |= owners[s]
@@ -110,13 +110,15 @@ def build(items: list[tuple[int, list[list[str]]]], least: int) -> Automaton:
                 t = link[t]
             held[s] = tuple(sorted(owners[t]))
     step = {s * v + w: t for s, ts in enumerate(trans) for w, t in ts.items()}
-    return Automaton(vocabulary, step, link, longest, held, sizes, least)
+    return Automaton(vocabulary, step, link, longest, held, numbered, least)
 
 
 def spans(a: Automaton, text: list[str]) -> list[tuple[int, int, int, float]]:
-    """(item_id, first word, words, coverage) of each maximal run of words shared with an item.
+    """(item_id, first word, words, coverage) of each maximal run of words shared with a text of an item.
 
-    Runs of at least ``least`` words count.  Words outside the items' vocabulary
+    Runs of at least ``least`` words count; coverage is that of the text shared
+    with.  A run shared with several texts of an item counts once, with the best
+    coverage.  Words outside the items' vocabulary
     reset the automaton, so only stretches of known words are streamed.
     """
     flags = bytes(map(a.vocabulary.__contains__, text))
@@ -126,12 +128,13 @@ def spans(a: Automaton, text: list[str]) -> list[tuple[int, int, int, float]]:
         return []
     v = max(1, len(a.vocabulary))
     open_runs: dict[int, list[int]] = {}
-    out: list[tuple[int, int, int, float]] = []
+    out: dict[tuple[int, int, int], float] = {}
 
-    def close(item: int) -> None:
-        first, last = open_runs.pop(item)
-        n = last - first + 1
-        out.append((item, first, n, min(1.0, n / a.sizes[item])))
+    def close(number: int) -> None:
+        first, last = open_runs.pop(number)
+        item, size = a.texts[number]
+        run = (item, first, last - first + 1)
+        out[run] = max(out.get(run, 0.0), min(1.0, run[2] / size))
 
     while at >= 0:
         end = flags.find(b"\x00", at)
@@ -153,18 +156,18 @@ def spans(a: Automaton, text: list[str]) -> list[tuple[int, int, int, float]]:
                 t = state
                 while a.longest[a.link[t]] >= length:
                     t = a.link[t]
-                for item in a.held[t]:
-                    run = open_runs.get(item)
+                for number in a.held[t]:
+                    run = open_runs.get(number)
                     if run and run[1] == i - 1:
                         run[1] = i
                     else:
                         if run:
-                            close(item)
-                        open_runs[item] = [i - a.least + 1, i]
+                            close(number)
+                        open_runs[number] = [i - a.least + 1, i]
         at = flags.find(need, end)
-    for item in list(open_runs):
-        close(item)
-    return sorted(out)
+    for number in list(open_runs):
+        close(number)
+    return sorted((*run, coverage) for run, coverage in out.items())
 
 
 def automata(items: DataFrame, item_id: str, texts: list[str], least: int, most_words: int) -> Iterator[Automaton]:
@@ -187,8 +190,8 @@ def automata(items: DataFrame, item_id: str, texts: list[str], least: int, most_
 def leaked_spans(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_texts: tuple[str, ...] = ("passage", "question"), least: int = 12, most_words: int = 500_000) -> DataFrame:
     """Every span of at least ``least`` words that a document shares with a text of an item.
 
-    Columns: doc_id, item_id, first_word, n_words, coverage (of the item's longest
-    text).  Documents are read in one pass and never shuffled.  What is
+    Columns: doc_id, item_id, first_word, n_words, coverage (of the text it is
+    shared with).  Documents are read in one pass and never shuffled.  What is
     broadcast is an automaton of at most ``most_words`` item words; larger item
     sets make several passes.  Null or empty texts leak nothing, items whose
     texts are shorter than ``least`` words cannot be matched, repeated documents
@@ -244,8 +247,11 @@ def cut(text: str, found: list[tuple[int, int, int, float]], places: list[tuple[
     return "".join(parts), len(merged), sum(b - a + 1 for a, b in merged)
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_texts: tuple[str, ...] = ("passage", "question"), least: int = 12, least_coverage: float = 0.0, most_words: int = 500_000) -> DataFrame:
-    """Every document once, with spans of at least ``least`` words and ``least_coverage`` of their item cut out.
+def remove_spans(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_texts: tuple[str, ...] = ("passage", "question"), least: int = 12, least_coverage: float | None = None, shortest: int | None = None, most_words: int = 500_000) -> DataFrame:
+    """Every document once, with spans cut out that have ``least`` words or cover ``least_coverage`` of an item's text.
+
+    Spans of fewer than ``shortest`` words (``least``, unless given) are never
+    cut, whatever they cover.
 
     Columns: doc_id, clean_text, n_spans (after merging overlaps), n_removed_words.
     Documents without such spans, null and empty ones included, come out as they
@@ -254,7 +260,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
     spark = docs.sparkSession
     ship_package(spark)
     out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("clean_text"), F.lit(0).alias("n_spans"), F.lit(0).alias("n_removed_words"))
-    for a in automata(items, item_id, list(item_texts), least, most_words):
+    for a in automata(items, item_id, list(item_texts), min(least, shortest or least), most_words):
         shared = spark.sparkContext.broadcast(a)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -265,7 +271,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
             for batch in batches:
                 rows = []
                 for doc, body, n_spans, n_words in zip(*(c.to_pylist() for c in batch.columns)):
-                    found = [s for s in spans(own, words(body, known)) if s[3] >= least_coverage]
+                    found = [s for s in spans(own, words(body, known)) if s[2] >= least or (least_coverage is not None and s[3] >= least_coverage)]
                     if found:
                         body, more, cut_words = cut(body, found, word_places(body, known))
                         n_spans, n_words = n_spans + more, n_words + cut_words

@@ -133,8 +133,8 @@ def schedule(planned: DataFrame, knots: DataFrame) -> DataFrame:
     sound = F.col("at").between(0, 1) & (F.col("weight") >= 0)
     given = knots.where(sound).groupBy("mix_id", "source", F.col("at").cast("double").alias("at")).agg(F.max(F.col("weight").cast("double")).alias("weight"))
     own = Window.partitionBy("mix_id", "source")
-    first, last = F.min(F.struct("at", "weight")).over(own)["weight"], F.max(F.struct("at", "weight")).over(own)["weight"]
-    ends = given.select("mix_id", "source", F.explode(F.array(F.struct(F.lit(0.0).alias("at"), first.alias("weight")), F.struct(F.lit(1.0).alias("at"), last.alias("weight")))).alias("e")).select("mix_id", "source", "e.*")
+    both = given.groupBy("mix_id", "source").agg(F.min(F.struct("at", "weight")).alias("a"), F.max(F.struct("at", "weight")).alias("b"))
+    ends = both.select("mix_id", "source", F.inline(F.array(F.struct(F.lit(0.0).alias("at"), F.col("a.weight").alias("weight")), F.struct(F.lit(1.0).alias("at"), F.col("b.weight").alias("weight")))))
     whole = given.unionByName(ends).groupBy("mix_id", "source", "at").agg(F.max("weight").alias("weight"))
     step = own.orderBy("at")
     parts = whole.select("mix_id", "source", F.lag("at").over(step).alias("t0"), F.col("at").alias("t1"), F.lag("weight").over(step).alias("v0"), F.col("weight").alias("v1")).where(F.col("t0").isNotNull())

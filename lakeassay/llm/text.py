@@ -9,7 +9,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
 #: Letters of other scripts that look like a Latin one, and Latin
@@ -131,6 +131,24 @@ _PIECE = re.compile("(?:<[^<>]*>|\\S)+(?:(?<=[-‐­])[ \\t]*\\r?\\n[ \\t>|*#]*(
 _SEAM = re.compile(r"&[#\w]+;|<[^<>]*>|%20|\\+[nrt]|[_|,.;:!?/)\]}\"'-]+")
 
 
+def _aligned(a: list[str], b: list[str], reach: int = 48) -> Iterator[tuple[int, int]]:
+    """Pairs of places of equal words of two nearly equal lists, in order.
+
+    After a difference it goes on at the nearest place where two words in a row
+    agree, at most ``reach`` words ahead, and beyond that word by word; so the
+    work grows with the lists' length alone.
+    """
+    i = k = 0
+    while i < len(a) and k < len(b):
+        if a[i] == b[k]:
+            yield i, k
+            i, k = i + 1, k + 1
+            continue
+        ahead = ((p, d - p) for d in range(1, reach) for p in range(d + 1))
+        p, q = next(((p, q) for p, q in ahead if a[i + p : i + p + 2] == b[k + q : k + q + 2] != []), (1, 1))
+        i, k = i + p, k + q
+
+
 def word_places(text: str, known: Callable[[str], bool] | None = None) -> list[tuple[int, int]]:
     """Start and end in ``text`` of each word of ``words(text, known)``.
 
@@ -155,11 +173,9 @@ def word_places(text: str, known: Callable[[str], bool] | None = None) -> list[t
         places += [m.span()] * len(found)
     if flat == target:
         return places
-    from difflib import SequenceMatcher
-
     out: list[tuple[int, int] | None] = [None] * len(target)
-    for a, b, n in SequenceMatcher(None, target, flat, autojunk=False).get_matching_blocks():
-        out[a : a + n] = places[b : b + n]
+    for i, k in _aligned(target, flat):
+        out[i] = places[k]
     before = (0, 0)
     for i, p in enumerate(out):
         before = p = p or before

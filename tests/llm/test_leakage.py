@@ -82,6 +82,28 @@ def test_operator_on_awkward_rows(spark):
         got = leaked_documents(leaked_spans(d, e, most_words=most)).collect()
         assert sorted(map(tuple, got), key=repr) == want
     assert leaked_spans(d, e.limit(0)).count() == 0 and leaked_spans(d.limit(0), e).count() == 0
-    assert leaked_documents(leaked_spans(d, e), least_coverage=0.9).count() == 2
+    assert leaked_documents(leaked_spans(d, e), least_coverage=0.9).count() == 5  # whole passages and whole questions
     clean = {r.doc_id: r for r in remove_spans(d, e).where("doc_id in (1, 2, 3)").collect()}
     assert clean[1].clean_text.split() == ["x", "y"] and clean[1].n_removed_words == 20 and clean[2].n_spans == 0 and clean[3].clean_text is None
+
+
+def test_coverage_is_that_of_the_text_and_either_limit_cuts(spark):
+    p, q = " ".join(f"w{i}" for i in range(40)), " ".join(f"q{i}" for i in range(8))
+    d, e = frames(spark, [(1, f"a {q} b", 0), (2, "c " + " ".join(p.split()[:14]), 0), (3, "d " + " ".join(p.split()[:9]), 0)], [(1, p, q, None)])
+    found = {r.doc_id: (r.n_words, round(r.coverage, 3)) for r in leaked_spans(d, e, least=5).collect()}
+    assert found == {1: (8, 1.0), 2: (14, 0.35), 3: (9, 0.225)}
+
+    def kept(**limits):
+        return {r.doc_id: len(r.clean_text.split()) for r in remove_spans(d, e, **limits).collect()}
+
+    assert kept() == {1: 10, 2: 1, 3: 10}
+    assert kept(least_coverage=0.9, shortest=5) == {1: 2, 2: 1, 3: 10}
+
+
+def test_words_keep_their_places_in_long_uneven_texts():
+    from lakeassay.llm.text import word_places, words
+
+    text = " ".join(f"word{i} a&#98;c{i} so-\ncalled{i} <b>x</b>y{i}" for i in range(20_000))
+    places = word_places(text)
+    assert len(places) == len(words(text)) and places == sorted(places)
+    assert text[slice(*places[-1])].endswith("y19999")

@@ -18,6 +18,7 @@ from lakeassay.operators import ed25519
 from lakeassay.schemas import flags
 from lakeassay.session import ship_package
 
+#: Fixed value: what the first record names as its predecessor's hash.
 GENESIS = "0" * 64
 CHAIN = T.StructType([T.StructField("chain_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("prev_hash", T.StringType()), T.StructField("payload", T.StringType()), T.StructField("timestamp", T.StringType()), T.StructField("record_hash", T.StringType())])
 
@@ -57,23 +58,46 @@ def content_duplicates(df: DataFrame, content: str, row_id: str) -> DataFrame:
 # --- chains ----------------------------------------------------------------------------
 
 
+#: Short escapes of JSON, by UTF-16 unit.
+_ESCAPES = {"0008": r"\b", "0009": r"\t", "000A": r"\n", "000C": r"\f", "000D": r"\r", "0022": r"\"", "005C": r"\\"}
+
+
+def json_text(text: Column) -> Column:
+    """A text as an ASCII JSON string, byte for byte as ``json.dumps`` writes it; null as ``null``."""
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit(r"\\")), F.lit('"'), F.lit(r"\""))
+
+    def unit(u: Column) -> Column:
+        out = F.when(u.between("0020", "007E"), F.char(F.conv(u, 16, 10).cast("long"))).otherwise(F.concat(F.lit(r"\u"), F.lower(u)))
+        for code, short in _ESCAPES.items():
+            out = F.when(u == code, F.lit(short)).otherwise(out)
+        return out
+
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), 1)
+    body = F.when(text.rlike(r"\A[ -~]*\z"), plain).otherwise(F.array_join(F.transform(units, unit), ""))
+    return F.when(text.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), body, F.lit('"')))
+
+
 def record_hash(payload: Column, prev_hash: Column, timestamp: Column) -> Column:
-    """Hash of a record over its canonical JSON (keys in order: payload, prev_hash, timestamp)."""
-    return F.sha2(F.to_json(F.struct(payload.alias("payload"), prev_hash.alias("prev_hash"), timestamp.alias("timestamp"))), 256)
+    """Hash of a record over its canonical JSON (keys in order: payload, prev_hash, timestamp); equal to :func:`next_hash`."""
+    parts = [F.lit('{"payload":'), json_text(payload), F.lit(',"prev_hash":'), json_text(prev_hash), F.lit(',"timestamp":'), json_text(timestamp), F.lit("}")]
+    return F.sha2(F.concat(*parts), 256)
 
 
-def next_hash(payload: str, prev_hash: str, timestamp: str) -> str:
-    return hashlib.sha256(json.dumps({"payload": payload, "prev_hash": prev_hash, "timestamp": timestamp}, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+def next_hash(payload: str | None, prev_hash: str, timestamp: str | None) -> str:
+    return hashlib.sha256(json.dumps({"payload": payload, "prev_hash": prev_hash, "timestamp": timestamp}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
-def build_chains(records: DataFrame) -> DataFrame:
+def build_chains(records: DataFrame, head: str | None = None) -> DataFrame:
     """Chains of (chain_id, seq, payload, timestamp): each record hashed with its predecessor's hash.
 
-    A chain is a recurrence and runs in one task by nature; tasks stream their
-    chains one record at a time, so its length costs no memory.
+    A chain starts from the genesis value, or goes on from the hash in the
+    column ``head``.  A chain is a recurrence and runs in one task by nature;
+    tasks stream their chains one record at a time, so its length costs no
+    memory.
     """
     ship_package(records.sparkSession)
-    rows = records.select(F.col("chain_id").cast("long").alias("chain_id"), F.col("seq").cast("long").alias("seq"), F.col("payload").cast("string").alias("payload"), F.col("timestamp").cast("string").alias("timestamp"))
+    start = F.coalesce(F.col(head), F.lit(GENESIS)) if head else F.lit(GENESIS)
+    rows = records.select(F.col("chain_id").cast("long").alias("chain_id"), F.col("seq").cast("long").alias("seq"), F.col("payload").cast("string").alias("payload"), F.col("timestamp").cast("string").alias("timestamp"), start.alias("head"))
     ordered = rows.repartition("chain_id").sortWithinPartitions("chain_id", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +106,9 @@ def build_chains(records: DataFrame) -> DataFrame:
         schema, chain, last = to_arrow_schema(CHAIN), object(), GENESIS
         for b in batches:
             out = []
-            for c, s, p, t in zip(*(x.to_pylist() for x in b.columns)):
+            for c, s, p, t, first in zip(*(x.to_pylist() for x in b.columns)):
                 if c != chain:
-                    chain, last = c, GENESIS
+                    chain, last = c, first
                 h = next_hash(p, last, t)
                 out.append((c, s, last, p, t, h))
                 last = h
@@ -131,7 +155,7 @@ def lookup(chain: DataFrame, chain_id: int, seq: int) -> DataFrame:
 
 
 class ChainLog:
-    """An append-only hash-chained log in a Parquet folder, for one writer."""
+    """An append-only hash-chained log in a Parquet folder, for one writer; several chains may share a folder."""
 
     def __init__(self, spark: SparkSession, path: str, chain_id: int = 0):
         self.spark, self.path, self.chain_id = spark, path, chain_id
@@ -140,7 +164,7 @@ class ChainLog:
             spark.createDataFrame([], CHAIN).write.parquet(path)
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(CHAIN).parquet(self.path)
+        return self.spark.read.schema(CHAIN).parquet(self.path).where(F.col("chain_id") == self.chain_id)
 
     def append(self, payloads: list, when: datetime | None = None) -> int:
         """Add payloads (any JSON values) in order; returns the last sequence number."""

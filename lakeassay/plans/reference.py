@@ -182,9 +182,10 @@ def capability_gate(spark, sf):
 # --- provenance ------------------------------------------------------------------------
 
 
-def _chain(spark, sf) -> DataFrame:
-    """The events of each user as a chain."""
+def _chain(spark, sf, only: int | None = None) -> DataFrame:
+    """The events of each user (or of one) as a chain."""
     ev = table(spark, sf, "events")
+    ev = ev if only is None else ev.where(F.col("user_id") == only)
     body = F.to_json(F.struct("event_id", "event_type"))
     return provenance.build_chains(ev.select(F.col("user_id").alias("chain_id"), F.col("event_id").alias("seq"), body.alias("payload"), F.lit("2024-01-01T00:00:00+00:00").alias("timestamp")))
 
@@ -211,7 +212,7 @@ def chain_audit(spark, sf):
 
 
 def chain_lookup(spark, sf):
-    return provenance.lookup(_chain(spark, sf), 8, 0).select("chain_id", "seq", F.get_json_object("payload", "$.event_type").alias("event_type"), "prev_hash")
+    return provenance.lookup(_chain(spark, sf, 8), 8, 0).select("chain_id", "seq", F.get_json_object("payload", "$.event_type").alias("event_type"), "prev_hash")
 
 
 def signature_gate(spark, sf):

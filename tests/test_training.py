@@ -234,3 +234,32 @@ def test_lookup_over_very_many_blocks(spark):
     assert packing.archive(spark, out).count() == n
     assert packing.lookup(spark, out, ["p"]).count() == n
     assert packing.lookup(spark, out, ["q"]).count() == 0
+
+
+def test_cells_of_a_control_character(spark):
+    """A cell that is the reader's null marker is a text like any other."""
+    rows = [(1, "f", "\x01,1,a,0.5,0.5,0.5,0.5"), (2, "f", '"\x01",1,\x01,0.5,\x01,0.5,0.5'), (3, "f", "a.jpg,\x01,a,0.5,0.5,0.5,0.5"), (4, "f", "a.jpg,1,a,0.5,0.5,\x01,0.5")]
+    got = rejects.load_lines(spark.createDataFrame(rows, "line_id long, export_file string, raw_line string"), [1]).orderBy("line_id").collect()
+    assert [(r.reason, r.image_path, r.class_name, r.y_center) for r in got] == [(None, "\x01", "a", 0.5), (None, "\x01", "\x01", None), ("class_id", None, None, None), ("width", None, None, None)]
+
+
+def test_shortfalls_come_from_the_drawn_sample(spark):
+    items = spark.createDataFrame([(i, 1 if i < 90 else 2) for i in range(100)], "annotation_id long, class_id int")
+    targets = spark.createDataFrame([(1, 1, 0.5, 5, 1.0), (1, 2, 0.104, 0, 1.0), (1, 3, 0.0, 1, 1.0), (2, 2, 0.1, 10, 1.0), (2, 3, 0.0, 0, 1.0), (3, 2, None, 11, None)], "request_id int, class_id int, target_share double, min_rows long, sample_fraction double")
+    planned = sampling.plan(targets, sampling.observe(items))
+    shared = sampling.shares(sampling.draw(sampling.distinct_items(items), planned), planned)
+    assert sorted((r.request_id, r.class_id) for r in sampling.unmet(shared).collect()) == [(1, 2), (1, 3), (3, 2)]
+
+
+def test_expression_levels_mix(spark):
+    """Many names of one make are one general expression, a few of one form a special one, odd values none."""
+    rng = random.Random(4)
+    names = {"".join(rng.choices("abcdefghij", k=rng.randint(4, 60))) + "-" + "7" * rng.randint(1, 9) for _ in range(300)}
+    values = [*names, *(f"Report of shift {i:02d}, gate seven" for i in range(20)), "?? !"]
+    df = spark.createDataFrame([(1, v) for v in values], "load long, s string")
+    got = {r.expression: (r.level, r.n_values) for r in profile.induce_expressions(df, "s", "load").collect()}
+    assert got == {r"[A-Za-z]+-\d+": ("runs", len(names)), r"Report of shift \d\d\, gate seven": ("fixed", 20)}
+    cover = profile.described_coverage(df, "load", "s").first()
+    assert (cover.n_values, cover.n_nonconforming) == (len(values), 1)
+    judged = profile.described_coverage(df, "load", "s", "^Report").first()
+    assert judged.n_malformed == len(names) + 1

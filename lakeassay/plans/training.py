@@ -76,11 +76,11 @@ def p2_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_modules(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(spark, sf).modules.select("report_id", "module_no", "module_name", "coverage_statement", "access_mode_used", F.col("n_flags").cast("long").alias("n_flags"))
+    return _flat(spark, sf).module_rows.select("report_id", "module_no", "module_name", "coverage_statement", "access_mode_used", "n_flags")
 
 
 def p2_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(spark, sf).flags.select("report_id", "module_no", "flag_no", "id", "module_name", "reason", "confidence", "severity", "affected_asset", "recommended_disposition")
+    return _flat(spark, sf).flag_rows.select("report_id", "module_no", "flag_no", "id", "module_name", "reason", "confidence", "severity", "affected_asset", "recommended_disposition")
 
 
 def p2_objects(spark: SparkSession, sf: str) -> DataFrame:

@@ -263,3 +263,37 @@ def test_expression_levels_mix(spark):
     assert (cover.n_values, cover.n_nonconforming) == (len(values), 1)
     judged = profile.described_coverage(df, "load", "s", "^Report").first()
     assert judged.n_malformed == len(names) + 1
+
+
+def test_json_of_any_depth(spark):
+    """The parser for deep texts reads what the standard one reads, and evidence of any depth keeps its scalars."""
+    rng = random.Random(3)
+
+    def made(depth):
+        kind = rng.randrange(8 if depth else 5)
+        if kind < 5:
+            return [None, True, rng.randint(-50, 50), 1.5e-7, "q\u2028\"\\\n é"][kind]
+        return [made(depth - 1) for _ in range(rng.randrange(4))] if kind < 7 else {rng.choice(["a", "b", ""]): made(depth - 1) for _ in range(rng.randrange(4))}
+
+    def read(text, how):
+        try:
+            return how(text)
+        except ValueError:
+            return "no JSON"
+
+    texts = [json.dumps(made(5), indent=rng.choice([None, 1]), ensure_ascii=bool(i % 2)) for i in range(200)]
+    texts += ["".join(rng.choices('{}[]:,"a1 ', k=rng.randint(1, 8))) for _ in range(3000)] + ["", " ", "[1,]", '{"a":1,}', "[1 2]", "01", "-", "NaN", "[Infinity]", '"a\nb"', "[1]]", '{"a":1,"a":2}', "tru"]
+    number = nested._Number
+    for t in texts:
+        assert read(t, nested.parse) == read(t, lambda x: json.loads(x, parse_float=number, parse_int=number, parse_constant=number)), t
+    n = 5000
+    deep = '{"k":' * n + '"low"' + "}" * n
+    wrapped = "x"
+    for _ in range(9):
+        wrapped = json.dumps({"w": wrapped} if wrapped == "x" else wrapped)
+    flag = [("i", "m", "r", t, 0.5, "low", "a", "accept") for t in (deep, "[" * n + "7" + "]" * n, wrapped, "[" * n)]
+    flat = nested.flatten(spark.createDataFrame([(1, None, "x", [("m", flag, None, None)] * 2)], REPORT))
+    got = {(r.module_no, r.flag_no): (r.evidence_path, r.scalar) for r in nested.occurrences(flat).collect()}
+    assert got == {(m, f): x for m in (0, 1) for f, x in enumerate([(".".join("k" * n), "low"), ("[0]" * n, "7"), ("w", "x")])}
+    assert flat.flag_objects.count() == 4 and flat.module_objects.collect()[0].n_occurrences == 2
+    assert flat.flags.select("node_id").distinct().join(flat.flag_objects, "node_id").count() == 4

@@ -42,7 +42,7 @@ NODE = T.StructType(
     ]
 )
 LEAF = T.StructType([T.StructField("evidence_path", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("scalar", T.StringType())])
-DECODED = T.StructType([T.StructField("root_id", T.StringType()), T.StructField("nodes", T.ArrayType(NODE)), T.StructField("leaves", T.ArrayType(LEAF))])
+DECODED = T.StructType([T.StructField("root_id", T.StringType()), T.StructField("leaves", T.ArrayType(LEAF))])
 
 
 class _Number(str):
@@ -188,9 +188,7 @@ def identify(value, nodes: dict[str, tuple]) -> tuple[str, int]:
 
 
 def _decoder():
-    """A function over Arrow columns: evidence text to its root, and the nodes and leaves its task has not sent yet."""
-    names = [f.name for f in NODE["edges"].dataType.elementType.fields]
-    seen: set[str] = set()
+    """A function over Arrow columns: evidence text to its root, and the leaves its task has not sent yet."""
     roots: set[str] = set()
 
     @F.arrow_udf(DECODED)
@@ -203,20 +201,38 @@ def _decoder():
             if value is None:
                 out.append(None)
                 continue
-            nodes: dict[str, tuple] = {}
-            root, _ = identify(value, nodes)
-            fresh = [n for d, n in nodes.items() if d not in seen]
-            if len(seen) < 200_000:
-                seen.update(n[0] for n in fresh)
+            root, _ = identify(value, {})
             below = None if root in roots else [dict(zip(LEAF.names, x)) for x in leaves(value)]
             if len(roots) < 200_000:
                 roots.add(root)
-            out.append({"root_id": root, "leaves": below, "nodes": [{"node_id": d, "kind": k, "height": h, "edges": [dict(zip(names, e)) for e in edges]} for d, k, h, edges in fresh]})
+            out.append({"root_id": root, "leaves": below})
         return pa.array(out, to_arrow_type(DECODED))
 
     return decoded
 
 
+def _node_reader():
+    """A function over Arrow columns: evidence text to the nodes its task has not sent yet."""
+    names = [f.name for f in NODE["edges"].dataType.elementType.fields]
+    seen: set[str] = set()
+
+    @F.arrow_udf(T.ArrayType(NODE))
+    def read(texts: pa.Array) -> pa.Array:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        out = []
+        for text in texts.to_pylist():
+            nodes: dict[str, tuple] = {}
+            identify(decode(text), nodes)
+            fresh = [n for d, n in nodes.items() if d not in seen]
+            if len(seen) < 200_000:
+                seen.update(n[0] for n in fresh)
+            out.append([{"node_id": d, "kind": k, "height": h, "edges": [dict(zip(names, e)) for e in edges]} for d, k, h, edges in fresh])
+        return pa.array(out, to_arrow_type(T.ArrayType(NODE)))
+
+    return read
+
+
 def latest_delivery(reports: DataFrame) -> DataFrame:
     """One row of each report: the delivery received last, ties settled by the content's text.
 
@@ -275,8 +291,8 @@ class Flattened:
     def decoded(self) -> DataFrame:
         """Each flag with its decoded evidence beside it, so that no text is shuffled.
 
-        What a task meets again it sends once; the rest of the copies meet at
-        the groupings of nodes and roots.
+        Leaves that a task meets again it sends once; the rest of the copies
+        meet at the grouping of roots.
         """
         return materialize(self._raw_flags.withColumn("d", _decoder()(F.col("f.evidence"))), "decoded")
 
@@ -305,7 +321,9 @@ class Flattened:
 
     @cached_property
     def _stored(self) -> DataFrame:
-        stored = self.decoded.select(F.explode("d.nodes").alias("n")).groupBy("n.node_id").agg(F.first("n").alias("n"))
+        # one text of each distinct evidence is taken apart; objects that several share meet at the grouping
+        texts = self.decoded.where(F.col("d.root_id").isNotNull()).groupBy("d.root_id").agg(F.first("f.evidence").alias("evidence"))
+        stored = texts.select(F.explode(_node_reader()(F.col("evidence"))).alias("n")).groupBy("n.node_id").agg(F.first("n").alias("n"))
         return materialize(stored.select("n.node_id", "n.kind", "n.height", "n.edges"), "nodes")
 
     @property

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,13 +26,21 @@ def norm(v: Column) -> Column:
     return F.sqrt(total(F.transform(doubles(v), lambda x: x * x)))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` reads it for each element of an array."""
+    return F.transform(F.array(value), use)[0]
+
+
 def l2_normalize(v: Column, guard: bool = True) -> Column:
     """Unit vector.  With ``guard`` the zero vector stays zero, else it becomes NaN."""
-    n = norm(v)
-    divisor = F.when(n == 0, F.lit(1.0)).otherwise(n) if guard else n
-    divide = (lambda x: x / divisor) if guard else (lambda x: F.try_divide(x, divisor))
-    out = F.transform(doubles(v), divide)
-    return out if guard else F.when(n == 0, F.transform(doubles(v), lambda x: F.lit(float("nan")))).otherwise(out)
+
+    def divide(s: Column) -> Column:
+        n = s["n"]
+        if guard:
+            return F.transform(s["v"], lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+        return F.transform(s["v"], lambda x: F.when(n == 0, F.lit(float("nan"))).otherwise(F.try_divide(x, n)))
+
+    return bound(F.struct(doubles(v).alias("v"), norm(v).alias("n")), divide)
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -43,9 +53,8 @@ def rbf(a: Column, b: Column, gamma: Column | float) -> Column:
 
 def softmax(v: Column) -> Column:
     """Softmax, stabilised by the maximum."""
-    top = F.array_max(doubles(v))
-    e = F.transform(doubles(v), lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(F.transform(doubles(v), lambda y: F.exp(y - top))))
+    powers = bound(F.struct(doubles(v).alias("v"), F.array_max(doubles(v)).alias("top")), lambda s: F.transform(s["v"], lambda x: F.exp(x - s["top"])))
+    return bound(powers, lambda e: bound(F.struct(e.alias("e"), total(e).alias("sum")), lambda s: F.transform(s["e"], lambda x: x / s["sum"])))
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:

@@ -74,15 +74,16 @@ class Forest:
         return -(2 ** (-(total / len(self.trees)) / self.scale))
 
 
-def scores(df: DataFrame, reference: DataFrame, *, asset_id: str = "vec_id", embedding: str = "embedding", contamination: float = 0.05, trees: int = 200, subsample: int = 256, seed: int = 42, most_rows: int = 4096) -> DataFrame:
+def scores(df: DataFrame, reference: DataFrame, *, asset_id: str = "vec_id", embedding: str = "embedding", contamination: float = 0.05, trees: int = 200, subsample: int = 256, seed: int = 42, most_rows: int | None = None) -> DataFrame:
     """(asset, score, prediction) of every row; below 0 is an outlier, predicted -1.
 
-    The forest is grown from at most ``most_rows`` reference rows picked by hash;
+    The forest is grown from at most ``most_rows`` reference rows picked by hash,
+    as many as its trees can take in all (``trees`` times ``subsample``) unless given;
     scores are shifted by the contamination quantile of all reference rows'
     scores, to within a millionth of their number.  An empty reference raises.
     """
     ship_package(df.sparkSession)
-    sample = reference.where(F.col(embedding).isNotNull()).orderBy(F.xxhash64(asset_id), asset_id).limit(most_rows).select(embedding).toPandas()
+    sample = reference.where(F.col(embedding).isNotNull()).orderBy(F.xxhash64(asset_id), asset_id).limit(most_rows or trees * subsample).select(embedding).toPandas()
     if not len(sample):
         raise ValueError("the reference holds no embeddings")
     shared = df.sparkSession.sparkContext.broadcast(Forest(np.asarray(sample[embedding].tolist(), float), trees, subsample, seed))

@@ -125,6 +125,12 @@ def members(blocks: DataFrame) -> DataFrame:
     return out.select("file_id", "path", "content", (F.col("content").isNull() | (F.crc32("content") == F.col("crc32"))).alias("sound"))
 
 
+def checked(members: DataFrame) -> DataFrame:
+    """Members as they are; reading one whose checksum does not hold is an error that names it."""
+    fault = F.raise_error(F.concat(F.lit("checksum of member "), F.coalesce(F.col("file_id").cast("string"), F.lit("null")), F.lit(" does not hold")))
+    return members.withColumn("content", F.when(F.col("sound"), F.col("content")).otherwise(fault.cast("binary")))
+
+
 #: Blocks that a lookup names one by one.
 FEW_BLOCKS = 1 << 16
 

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeassay.schemas import flags
-from lakeassay.session import ship_package
+from lakeassay.session import materialize, ship_package
 
 BLOCK = 2048
-KS_BUCKETS = 1024
+KS_BUCKETS = 64
 
 
 def _sample(df: DataFrame, embedding: str, side: str) -> DataFrame:
@@ -38,15 +38,17 @@ def mmd(test: DataFrame, reference: DataFrame, embedding: str = "embedding", gam
     """
     spark = test.sparkSession
     ship_package(spark)
-    dim = max(dimension(test, embedding), dimension(reference, embedding))
-    if test.limit(1).count() and reference.limit(1).count() and dimension(test, embedding) != dimension(reference, embedding):
-        raise ValueError("test and reference embeddings have different dimensions")
-    g = gamma if gamma is not None else 1.0 / max(1, dim)
+    # rows get numbers of their own, so that equal vectors spread over the blocks
     rows = _sample(test, embedding, "x").unionByName(_sample(reference, embedding, "y"))
-    sizes = {r["side"]: r["n"] for r in rows.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = {s: max(1, -(-sizes.get(s, 0) // block)) for s in "xy"}
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "sample")
+    seen = {r["side"]: r for r in rows.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("lo"), F.max(F.size("v")).alias("hi")).collect()}
+    dims = {d for r in seen.values() for d in (r["lo"], r["hi"])}
+    if len(dims) > 1:
+        raise ValueError(f"embeddings of different dimensions: {sorted(dims)}")
+    g = gamma if gamma is not None else 1.0 / max(1, *dims, 1)
+    n = {s: max(1, -(-seen[s]["n"] // block)) if s in seen else 1 for s in "xy"}
     blocks = F.when(F.col("side") == "x", n["x"]).otherwise(n["y"])
-    put = rows.withColumn("b", F.pmod(F.xxhash64("v"), blocks).cast("int")).withColumn("name", F.concat("side", F.col("b")))
+    put = rows.withColumn("b", F.pmod(F.xxhash64("row"), blocks).cast("int")).withColumn("name", F.concat("side", F.col("b")))
     names = [f"{s}{i}" for s in "xy" for i in range(n[s])]
     # The two sides come from one frame: columns get names of their own, or pruning mixes them up.
     # each unordered pair of blocks once: symmetric kernels count twice off the diagonal
@@ -97,9 +99,11 @@ def ks_statistics(test: DataFrame, reference: DataFrame, embedding: str = "embed
     rows = _sample(test, embedding, "x").unionByName(_sample(reference, embedding, "y"))
     points = rows.select("side", F.posexplode("v").alias("dim", "x"))
     counts = points.groupBy("dim", "x").agg(F.count_if(F.col("side") == "x").alias("a"), F.count_if(F.col("side") == "y").alias("b"))
-    spans = counts.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("a").alias("n_test"), F.sum("b").alias("n_reference"))
-    width = F.when(F.col("hi") > F.col("lo"), (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    placed = counts.join(spans, "dim").withColumn("bucket", F.floor(width * (KS_BUCKETS - 1)))
+    # cuts between buckets follow the values' quantiles, so that outliers do not crowd the rest into one
+    cuts = F.percentile_approx("x", [i / KS_BUCKETS for i in range(1, KS_BUCKETS)], 100 * KS_BUCKETS)
+    spans = counts.groupBy("dim").agg(cuts.alias("cuts"), F.sum("a").alias("n_test"), F.sum("b").alias("n_reference"))
+    bucket = F.size(F.filter("cuts", lambda c: c < F.col("x")))
+    placed = counts.join(spans, "dim").withColumn("bucket", bucket).drop("cuts")
     sums = placed.groupBy("dim", "bucket").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
     upto = Window.partitionBy("dim").orderBy("bucket")
     before = sums.select("dim", "bucket", (F.sum("sa").over(upto) - F.col("sa")).alias("pa"), (F.sum("sb").over(upto) - F.col("sb")).alias("pb"))

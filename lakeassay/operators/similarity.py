@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeassay.functions.vectors import doubles, l2_normalize
+from lakeassay.operators.skew import heavy_keys, salted_join
 from lakeassay.session import materialize, ship_package
 
 BLOCK = 2048
@@ -33,9 +34,13 @@ def unit_classes(df: DataFrame, asset_id: str, embedding: str) -> tuple[DataFram
     classes: id, v (normalised), copies.  members: asset, id.  Rows without an
     id or embedding are left out; a zero vector is similar to nothing.
     """
-    rows = df.where(F.col(asset_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(asset_id).cast("long").alias("asset"), l2_normalize(F.col(embedding)).alias("v"))
-    classes = materialize(rows.groupBy("v").agg(F.min("asset").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
-    members = rows.join(classes.select("v", "id"), "v").select("asset", "id")
+    # 128 bits of hash stand for the vector; adding zero makes both zeros one
+    plain = F.transform(l2_normalize(F.col(embedding)), lambda x: x + F.lit(0.0))
+    rows = df.where(F.col(asset_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(asset_id).cast("long").alias("asset"), plain.alias("v"))
+    keyed = materialize(rows.select("asset", "v", F.concat_ws("/", F.xxhash64("v"), F.xxhash64(F.lit(1), "v")).alias("h")), "vectors")
+    classes = materialize(keyed.groupBy("h").agg(F.min("asset").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "classes")
+    slim = keyed.select("asset", "h")
+    members = salted_join(slim, classes.select("h", "id"), "h", heavy_keys(slim, "h"), F.col("asset")).select("asset", "id")
     return classes, members
 
 
@@ -176,7 +181,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, asset_id: str = "vec_id",
             sims = _matrix(a["v"]) @ _matrix(b["v"]).T
             for q, s in zip(a["id"].to_numpy(), sims):
                 s = np.where(ids == q, -np.inf, s)
-                top = np.lexsort((ids, -s))[:k]
+                near = np.flatnonzero(s >= np.partition(s, -k)[-k]) if 0 < k < len(s) else np.arange(len(s))
+                top = near[np.lexsort((ids[near], -s[near]))[:k]]
                 top = top[np.isfinite(s[top])]
                 out["query"] += [q] * len(top)
                 out["neighbour"] += ids[top].tolist()

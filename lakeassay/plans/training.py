@@ -22,7 +22,7 @@ def _records(spark: SparkSession, sf: str) -> tuple[DataFrame, bool]:
     """The label records as read back from the packed containers."""
     directory = _archive(spark, sf)
     wide = packing.needs_wide(spark, directory)
-    return packing.label_records(packing.members(packing.archive(spark, directory)), wide), wide
+    return packing.label_records(packing.checked(packing.members(packing.archive(spark, directory))), wide), wide
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:

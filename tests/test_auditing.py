@@ -370,3 +370,28 @@ def test_late_stream_records_are_kept_apart(spark, tmp_path):
     assert [r.seq for r in spark.read.parquet(path).orderBy("seq").collect()] == [1, 5, 6]
     assert [(r.seq, r.payload) for r in spark.read.parquet(path + "_late").collect()] == [(3, "late")]
     assert provenance.verify_chains(spark.read.parquet(path)).first().valid
+
+
+def test_a_third_of_equal_vectors(spark):
+    """Equal vectors are one class, however many, and fill no single block; zeros of either sign are equal."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(60, 4)), np.tile([1.0, 0.0, 2.0, 0.0], (30, 1)), np.tile([1.0, -0.0, 2.0, -0.0], (3, 1))]).astype(np.float32)
+    got = {r.asset: r for r in similarity.membership(frame(spark, x), 0.999999).collect()}
+    assert len(got) == 93 and {(got[i].cluster, got[i].n_copies) for i in range(60, 93)} == {(60, 33)}
+    y = rng.normal(size=(40, 4)).astype(np.float32)
+    both = np.vstack([x, y]).astype(float)
+    k = np.exp(-((both[:, None] - both[None]) ** 2).sum(2) / 4)
+    a, b = slice(0, 93), slice(93, None)
+    want = math.sqrt(k[a, a].mean() - 2 * k[a, b].mean() + k[b, b].mean())
+    assert abs(shift.mmd(frame(spark, x), frame(spark, y), block=16).first().mmd - want) < 1e-9
+
+
+def test_ks_with_one_extreme_value(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(300, 2)).astype(np.float32), rng.normal(0.3, 1, size=(200, 2)).astype(np.float32)
+    x[0, 0] = 1e30
+    got = {r.dim: r.ks for r in shift.ks_statistics(frame(spark, x), frame(spark, y)).collect()}
+    for d in (0, 1):
+        grid = np.concatenate([x[:, d], y[:, d]])
+        want = max(abs((x[:, d] <= v).mean() - (y[:, d] <= v).mean()) for v in grid)
+        assert abs(got[d] - want) < 1e-12

@@ -297,3 +297,14 @@ def test_json_of_any_depth(spark):
     assert got == {(m, f): x for m in (0, 1) for f, x in enumerate([(".".join("k" * n), "low"), ("[0]" * n, "7"), ("w", "x")])}
     assert flat.flag_objects.count() == 4 and flat.module_objects.collect()[0].n_occurrences == 2
     assert flat.flags.select("node_id").distinct().join(flat.flag_objects, "node_id").count() == 4
+
+
+def test_a_damaged_member_is_an_error(spark):
+    out = scratch_path(spark, "t")
+    packing.pack(spark.createDataFrame([(i, f"p{i}", f"text {i}", "c", 7) for i in range(5)], FILES), out)
+    blocks = packing.archive(spark, out)
+    assert packing.checked(packing.members(blocks)).where("length(content) = 6").count() == 5
+    harmed = blocks.withColumn("payload", F.encode(F.translate(F.decode("payload", "UTF-8"), "3", "8"), "UTF-8"))
+    assert packing.members(harmed).where("not sound").count() == 1
+    with pytest.raises(Exception, match="checksum of member 3 does not hold"):
+        packing.checked(packing.members(harmed)).where("length(content) = 6").count()

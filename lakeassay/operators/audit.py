@@ -6,9 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeassay.operators import labels, models, outliers, provenance, report, shift, similarity, spectral
-from lakeassay.schemas import info_flag
+from lakeassay.schemas import flags, info_flag
 from lakeassay.session import materialize
 
 
@@ -44,7 +45,7 @@ def checks(i: Inputs) -> list[tuple[str, str, tuple[str, ...], Callable[[], Data
     return [
         ("data_integrity", "near-duplicates", ("test",), lambda: similarity.duplicate_flags(similarity.clusters(i.test, o.get("similarity_threshold", 0.95)))),
         ("data_integrity", "outliers", ("test", "reference"), lambda: outliers.ood_flags(outliers.scores(i.test, i.reference, contamination=o.get("contamination", 0.05)), o.get("anomaly_threshold"))),
-        ("data_integrity", "label flips", ("test",), lambda: labels.label_flip_flags(labels.annotated_probability(i.test), o.get("label_threshold", 0.1))),
+        ("data_integrity", "label flips", ("test",), lambda: labels.label_flip_flags(labels.annotated_probability(i.test), o.get("label_threshold", 0.1)) if labels.any_labelled(i.test) else None),
         ("data_integrity", "trigger scan", ("images",), lambda: spectral.trigger_flags(spectral.scan_images(i.images, block=o.get("block_size", 64)), o.get("block_size", 64))),
         ("model_integrity", "trigger masks", ("masks",), lambda: models.anomaly_flags(models.mad_anomalies(i.masks), i.model_path)),
         ("model_integrity", "fingerprint", ("outputs", "baseline"), lambda: models.fingerprint_flags(models.fingerprint(i.outputs, i.baseline), i.model_path)),
@@ -67,10 +68,20 @@ def run(spark: SparkSession, inputs: Inputs) -> tuple[DataFrame, int]:
             parts.append(info_flag(spark, module, f"Check skipped: {name}.", "no input"))
             continue
         try:
-            parts.append(materialize(check(), "flags"))
+            found = check()
+            if found is None:
+                parts.append(info_flag(spark, module, f"Check skipped: {name}.", "nothing to check"))
+                continue
+            parts.append(materialize(found, "flags"))
             done += 1
         except Exception as x:  # noqa: BLE001 - any failure becomes a finding
-            parts.append(info_flag(spark, module, f"Check failed: {name}.", f"{type(x).__name__}: {str(x)[:300]}"))
+            detail = f"{type(x).__name__}: {str(x)[:300]}"
+            if name == "activations":
+                # a model whose activations cannot be read hides what they would show
+                evidence = {"error": F.lit(detail), "access_mode_used": F.lit("white_box")}
+                parts.append(flags(spark.range(1), module, F.lit("Activations could not be read."), evidence, F.lit(1.0), F.lit("high"), F.lit(inputs.model_path), "review"))
+            else:
+                parts.append(info_flag(spark, module, f"Check failed: {name}.", detail))
     return report.unite(parts), done
 
 

@@ -60,6 +60,11 @@ def annotated_probability(df: DataFrame, *, asset_id: str = "vec_id", embedding:
     return reduce(DataFrame.unionByName, parts)
 
 
+def any_labelled(df: DataFrame, label: str = "label") -> bool:
+    """Whether any row has a label; null and -1 are none."""
+    return not df.where(F.col(label) != -1).isEmpty()
+
+
 def label_flip_flags(scored: DataFrame, threshold: float = 0.1) -> DataFrame:
     p = F.col("prob")
     evidence = {"image_path": F.col("asset"), "annotated_class": F.col("label"), "predicted_probability_for_annotated": F.round(p, 6)}

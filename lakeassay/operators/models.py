@@ -31,6 +31,10 @@ class LinearModel:
         """Gradient with respect to the input, given that with respect to the logits."""
         return d_logits @ self.weights
 
+    def save(self, path: str) -> None:
+        """Write the model where :func:`load_model` reads it, a path ending in .npz."""
+        np.savez(path, weights=self.weights, bias=self.bias)
+
 
 #: Loaders of models by file ending; further kinds register here.
 LOADERS: dict[str, Callable[[str], object]] = {}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeassay.functions.vectors import clip, dot, l2_normalize, norm, rbf, softmax, top_class
 from lakeassay.operators import labels, models, outliers, provenance, report, scenarios, shift, similarity, spectral
-from lakeassay.session import table
+from lakeassay.session import scratch_path, table
 from lakeassay.sources import annotations as ann
 
 #: The similarity above which the driver's random vectors count as near-duplicates.
@@ -46,6 +46,44 @@ def image_listing(spark, sf):
     return table(spark, sf, "object_annotations").select("image_path").distinct().where(ann.ending(p).isin(*ann.IMAGE_ENDINGS)).select("image_path", ann.ending(p).alias("ending"), ann.stem(p).alias("stem"))
 
 
+def _yolo_folder(spark, sf) -> DataFrame:
+    """A YOLO folder of one image for each supplier, written and read back."""
+    import numpy as np
+
+    folder, dot = scratch_path(spark, "yolo"), ann.png(np.zeros((1, 1, 3), np.uint8))
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_nationkey").alias("label"), F.lit(dot).alias("content"))
+    ann.write_yolo(rows, folder)
+    names = table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("class_id"), F.col("n_name").alias("class_name"))
+    return ann.read_yolo(spark, f"{folder}/images", f"{folder}/labels", names)
+
+
+def yolo_folder(spark, sf):
+    """Images in path order with their annotations, from a folder of files."""
+    a = F.col("annotations")[0]
+    return _yolo_folder(spark, sf).select("image_idx", F.regexp_extract("image_path", "[^/]*$", 0).alias("image"), F.size("annotations").alias("n_annotations"), a["class_id"].alias("class_id"), a["class_name"].alias("class_name"), a["bbox"]["x_center"].alias("x_center"), a["bbox"]["height"].alias("height"))
+
+
+def training_labels(spark, sf):
+    """The label of each training image: the class of its first line."""
+    return ann.first_class(_yolo_folder(spark, sf)).select("image_idx", "label")
+
+
+def coco_file(spark, sf):
+    """A COCO file of one image a supplier, two boxes on every third, none on every seventh; read back."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("int").alias("c"))
+    images = s.select(F.struct(F.col("k").alias("id"), F.format_string("img_%d.jpg", "k").alias("file_name"), (F.lit(100) + F.col("k") % 7).cast("int").alias("width"), F.lit(200).alias("height")).alias("x"))
+    box = F.array(F.lit(10.0), F.lit(20.0), (F.col("k") % 50).cast("double"), F.lit(40.0))
+    boxes = s.where("k % 7 <> 0").select("k", "c", box.alias("b"), F.explode(F.when(F.col("k") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("n"))
+    boxes = boxes.select(F.struct((F.col("k") * 2 + F.col("n")).alias("id"), F.col("k").alias("image_id"), (F.col("c") + F.col("n")).cast("int").alias("category_id"), F.col("b").alias("bbox")).alias("x"))
+    names = table(spark, sf, "nation").select(F.struct(F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("name")).alias("x"))
+    parts = [d.agg(F.collect_list("x").alias(n)) for n, d in (("images", images), ("annotations", boxes), ("categories", names))]
+    path = scratch_path(spark, "coco")
+    parts[0].crossJoin(parts[1]).crossJoin(parts[2]).select(F.to_json(F.struct("images", "annotations", "categories")).alias("value")).coalesce(1).write.text(path)
+    a = F.col("a")
+    read = ann.read_coco(spark, path, "root/").select("image_idx", "image_path", F.explode_outer("annotations").alias("a"))
+    return read.select("image_idx", "image_path", a["class_id"].alias("class_id"), a["class_name"].alias("class_name"), F.round(a["bbox"]["x_center"], 6).alias("x_center"), F.round(a["bbox"]["width"], 6).alias("width"), F.round(a["bbox"]["y_center"], 6).alias("y_center"))
+
+
 def coco_normalise(spark, sf):
     """Pixel boxes of line items in pictures of the size of their part, as centres and sizes."""
     li = table(spark, sf, "lineitem")
@@ -342,7 +380,7 @@ def flags_explorer(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        yolo_parse, image_listing, coco_normalise, dominant_label, class_names_join, vector_functions, duplicate_members, duplicate_clusters, knn_topk, exact_content_duplicates, ks_per_dim, shift_metrics, shift_injected, shift_flag, softmax_kl, activation_drift, mad_anomaly,
+        yolo_folder, training_labels, coco_file, yolo_parse, image_listing, coco_normalise, dominant_label, class_names_join, vector_functions, duplicate_members, duplicate_clusters, knn_topk, exact_content_duplicates, ks_per_dim, shift_metrics, shift_injected, shift_flag, softmax_kl, activation_drift, mad_anomaly,
         capability_gate, chain_build, chain_verify, chain_tamper, chain_audit, chain_lookup, signature_gate, block_spectrum, trigger_scan, label_flip_inject, dup_flood, backdoor_relabel, ood_flags, label_flip_flags, trigger_reconstruct, sign_verify, flags_union, severity_rollup, overall_verdict, flags_explorer,
     )
 }

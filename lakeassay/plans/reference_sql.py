@@ -112,6 +112,13 @@ _MAD = _MASKS + "select target_class, round(l1_norm, 5) as l1_norm, round(med, 5
 
 _GATE = "select s_name as affected_asset, 'low' as severity, case when s_suppkey % 2 <> 0 then 'unavailable' else 'unavailable_for_jit' end as status from supplier where s_suppkey % 2 <> 0 or s_suppkey % 3 = 0"
 
+_YOLO_FOLDER = """select row_number() over (order by printf('synth_%05d', s_suppkey)) - 1 as image_idx, printf('synth_%05d.png', s_suppkey) as image, 1 as n_annotations, s_nationkey as class_id, n_name as class_name, cast(0.5 as double) as x_center, cast(1 as double) as height
+from supplier left join nation on n_nationkey = s_nationkey"""
+
+_COCO_FILE = """with b as (select s_suppkey as k, unnest(case when s_suppkey % 7 = 0 then [null] when s_suppkey % 3 = 0 then [0, 1] else [0] end) as n, s_nationkey as c, row_number() over (order by s_suppkey) - 1 as i from supplier)
+select i as image_idx, 'root/img_' || k || '.jpg' as image_path, c + n as class_id, n_name as class_name, round(case when n is not null then (10 + k % 50 / 2.0) / (100 + k % 7) end, 6) as x_center, round(case when n is not null then (k % 50) / cast(100 + k % 7 as double) end, 6) as width, cast(case when n is not null then 0.2 end as double) as y_center
+from b left join nation on n_nationkey = c + n"""
+
 _STAMP = "2024-01-01T00:00:00+00:00"
 
 
@@ -209,6 +216,9 @@ _VERDICT = _ALL + "select case when count(*) filter (where severity = 'high') >
 _EXPLORER = _ALL + "select case module when 'model_integrity' then 'Model integrity' else 'Distribution shift' end as module_label, severity, asset as affected_asset, d as recommended_disposition from u where severity = 'high' and module in ('model_integrity', 'distribution_shift')"
 
 ORACLES = {
+    "yolo_folder": _YOLO_FOLDER,
+    "training_labels": "select row_number() over (order by printf('synth_%05d', s_suppkey)) - 1 as image_idx, s_nationkey as label from supplier",
+    "coco_file": _COCO_FILE,
     "yolo_parse": _YOLO,
     "image_listing": _LISTING,
     "coco_normalise": _COCO,

@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import os
+import struct
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,12 +27,21 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"\.[^.]*$", "")
 
 
+def _entries(spark: SparkSession, directory: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files of a folder on any file system that Hadoop reaches; plain paths are local."""
+    if "://" not in directory:
+        return [(e.path, e.stat().st_size) for e in os.scandir(directory) if e.is_file()]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return [(f"{directory.rstrip('/')}/{f.getPath().getName()}", f.getLen()) for f in found if f.isFile()]
+
+
 def list_images(spark: SparkSession, directory: str, endings: tuple[str, ...] = IMAGE_ENDINGS) -> DataFrame:
-    """(image_idx, image_path) of a local folder's images in path order, empty files included.
+    """(image_idx, image_path) of a folder's images in path order, empty files included.
 
     Listed by the driver, as Spark's readers skip empty files; contents are not opened.
     """
-    names = sorted(e.path for e in os.scandir(directory) if e.is_file() and e.name.rpartition(".")[2].lower() in endings)
+    names = sorted(path for path, _ in _entries(spark, directory) if path.rpartition(".")[2].lower() in endings)
     return spark.createDataFrame(list(enumerate(names)), "image_idx long, image_path string")
 
 
@@ -62,7 +76,7 @@ def collect_images(images: DataFrame, annotations: DataFrame, key: str) -> DataF
 def read_yolo(spark: SparkSession, image_dir: str, label_dir: str, names: DataFrame | None = None, endings: tuple[str, ...] = IMAGE_ENDINGS) -> DataFrame:
     """(image_idx, image_path, annotations) of a YOLO folder; labels are matched by stem."""
     images = list_images(spark, image_dir, endings).withColumn("stem", stem(F.col("image_path")))
-    texts = spark.read.text(f"{label_dir}/*.txt", wholetext=True).select(stem(F.col("_metadata.file_path")).alias("stem"), "value") if any(n.endswith(".txt") and os.path.getsize(os.path.join(label_dir, n)) for n in os.listdir(label_dir)) else spark.createDataFrame([], "stem string, value string")
+    texts = spark.read.text(f"{label_dir}/*.txt", wholetext=True).select(stem(F.col("_metadata.file_path")).alias("stem"), "value") if any(n.endswith(".txt") and size for n, size in _entries(spark, label_dir)) else spark.createDataFrame([], "stem string, value string")
     return collect_images(images, name_classes(parse_lines(texts), names), "stem").select("image_idx", "image_path", "annotations").orderBy("image_idx")
 
 
@@ -113,3 +127,44 @@ def dominant_class(images: DataFrame, annotations: DataFrame, key: str, class_id
 
 def class_ids(images: DataFrame) -> DataFrame:
     return images.select("image_path", F.transform("annotations", lambda a: a["class_id"]).alias("class_ids"))
+
+
+def first_class(images: DataFrame) -> DataFrame:
+    """(image_idx, image_path, label) of the PNG images of a training set: the class of an image's first line, 0 without one."""
+    label = F.coalesce(F.try_element_at("annotations", F.lit(1))["class_id"], F.lit(0))
+    return images.where(ending(F.col("image_path")) == "png").select("image_idx", "image_path", label.alias("label"))
+
+
+def png(pixels: np.ndarray) -> bytes:
+    """A PNG file of an image of (height, width, 3) bytes."""
+    height, width, _ = pixels.shape
+    rows = b"".join(b"\0" + row.tobytes() for row in np.ascontiguousarray(pixels, np.uint8))
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def write_yolo(images: DataFrame, directory: str, prefix: str = "synth_") -> int:
+    """Save (idx, label, content) as a YOLO folder; returns how many images it holds.
+
+    Each image is images/PREFIX00000.png (its bytes as they are) with a label
+    file of one full-frame box.  Written by the workers to any file system that
+    Arrow reaches; a task that is run again writes the same files.  Rows without
+    idx or label are left out, a null content is an empty file.
+    """
+    rows = images.where(F.col("idx").isNotNull() & F.col("label").isNotNull()).select(F.col("idx").cast("long"), F.col("label").cast("long"), F.col("content").cast("binary"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(directory) if "://" in directory else (fs.LocalFileSystem(), directory)
+        for batch in batches:
+            for kind in ("images", "labels"):
+                store.create_dir(f"{root}/{kind}", recursive=True)
+            for idx, label, content in zip(*(c.to_pylist() for c in batch.columns)):
+                name = f"{prefix}{idx:05d}"
+                for path, data in ((f"images/{name}.png", content or b""), (f"labels/{name}.txt", f"{label} 0.5 0.5 1.0 1.0\n".encode())):
+                    with store.open_output_stream(f"{root}/{path}") as f:
+                        f.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -395,3 +395,45 @@ def test_ks_with_one_extreme_value(spark):
         grid = np.concatenate([x[:, d], y[:, d]])
         want = max(abs((x[:, d] <= v).mean() - (y[:, d] <= v).mean()) for v in grid)
         assert abs(got[d] - want) < 1e-12
+
+
+def test_key_files(tmp_path):
+    from lakeassay.operators import ed25519
+
+    secret, public = ed25519.generate()
+    path = str(tmp_path / "key.pem")
+    ed25519.save_key(secret, path)
+    assert ed25519.load_key(path) == secret and (tmp_path / "key.pem").stat().st_mode & 0o77 == 0
+    assert ed25519.verify(public, b"m", ed25519.sign(ed25519.load_key(path), b"m"))
+    for text in ("", "no key", "-----BEGIN PRIVATE KEY-----\nAAAA\n-----END PRIVATE KEY-----\n"):
+        (tmp_path / "other.pem").write_text(text)
+        with pytest.raises(ValueError):
+            ed25519.load_key(str(tmp_path / "other.pem"))
+
+
+def test_yolo_folder_round_trip(spark, tmp_path):
+    dot = ann.png(np.full((2, 3, 3), 7, np.uint8))
+    rows = spark.createDataFrame([(0, 4, dot, "x"), (1, 0, None, "x"), (None, 1, dot, "x"), (12, 3, dot, "x")], "idx long, label int, content binary, stem string")
+    assert ann.write_yolo(rows, str(tmp_path)) == 3 and ann.write_yolo(rows.limit(0), str(tmp_path)) == 0
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        got = ann.read_yolo(spark, f"{root}/images", f"{root}/labels").collect()
+        assert [(r.image_idx, r.image_path[-15:], r.annotations[0].class_id, r.annotations[0].bbox.width) for r in got] == [(0, "synth_00000.png", 4, 1.0), (1, "synth_00001.png", 0, 1.0), (2, "synth_00012.png", 3, 1.0)]
+    (tmp_path / "labels" / "synth_00012.txt").unlink()
+    (tmp_path / "images" / "b.jpg").write_bytes(b"")
+    read = ann.read_yolo(spark, f"{tmp_path}/images", f"{tmp_path}/labels")
+    assert sorted(r.label for r in ann.first_class(read).collect()) == [0, 0, 4]
+    seen = spark.read.format("image").load(f"{tmp_path}/images/synth_00000.png").select("image.width", "image.height", "image.data").first()
+    assert (seen.width, seen.height, bytes(seen.data)) == (3, 2, bytes([7] * 18))
+
+
+def test_models_and_gates(spark, tmp_path):
+    from lakeassay.operators import labels, models
+
+    made = models.LinearModel("m", np.eye(2), np.ones(2))
+    made.save(str(tmp_path / "m.npz"))
+    assert (models.load_model(str(tmp_path / "m.npz")).weights == np.eye(2)).all()
+    assert not labels.any_labelled(frame(spark, np.ones((3, 2)), label=[-1, -1, -1])) and labels.any_labelled(frame(spark, np.ones((3, 2)), label=[-1, 0, -1]))
+    broken = spark.createDataFrame([(1,)], "other int")
+    found, done = audit.run(spark, audit.Inputs(test=frame(spark, np.ones((3, 2)), label=[-1, -1, -1]), activations=broken, reference_stats=broken, model_path="net"))
+    rows = {(r.reason, r.severity, r.confidence, r.affected_asset) for r in found.collect()}
+    assert ("Activations could not be read.", "high", 1.0, "net") in rows and ("Check skipped: label flips.", "low", 0.0, "pipeline") in rows and done == 1

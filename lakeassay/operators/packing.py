@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeassay.session import default_parallelism, ship_package
+from lakeassay.session import default_parallelism, materialize, ship_package
 
 ENTRY = T.StructType(
     [
@@ -227,9 +227,11 @@ def repeated_records(records: DataFrame) -> DataFrame:
 
     All positions minus the first ones: the join runs on positions, which are
     unique, so no image or record can become hot.  Records are grouped by 128
-    bits of their hash, which keeps the shuffle to three numbers a row.
+    bits of their hash, which keeps the shuffle to three numbers a row.  Those
+    numbers are written once, so that no line is parsed twice.
     """
     key = ["image", *FIELDS, "odd"]
     named = records.where(F.col("image").isNotNull()).select(F.xxhash64(*key).alias("k1"), F.xxhash64(F.lit(1), *reversed(key)).alias("k2"), "pos", "file_id", "line_no")
+    named = materialize(named, "records")
     first = named.groupBy("k1", "k2").agg(F.min("pos").alias("pos"))
     return named.select("pos", "file_id", "line_no").join(first.select("pos"), "pos", "left_anti").select("file_id", "line_no")

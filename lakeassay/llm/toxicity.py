@@ -393,7 +393,11 @@ def fit(texts: list[str], categories: list[str | None], background: list[str] |
     plain = rng.permutation(np.flatnonzero(y[owner] == 0))[: landmarks // 5]
     picked = np.concatenate([rng.permutation(apart)[: landmarks - len(plain)], plain])
     marks = Landmarks([long[starts[i] : ends[i]] for i in picked], rank)
-    x = marks.map(long, starts, ends)
+    # windows that are alike, as of repeated sentences, are mapped once
+    alike: dict[bytes, int] = {}
+    which = np.array([alike.setdefault(long[a:b].tobytes(), len(alike)) for a, b in zip(starts, ends)])
+    once = np.unique(which, return_index=True)[1]
+    x = marks.map(long, starts[once], ends[once])[which]
     n = len(texts)
     if before is None:
         fold = np.concatenate([rng.permutation(n) % folds, np.full(len(y) - n, -1)])

@@ -216,6 +216,7 @@ _VERDICT = _ALL + "select case when count(*) filter (where severity = 'high') >
 _EXPLORER = _ALL + "select case module when 'model_integrity' then 'Model integrity' else 'Distribution shift' end as module_label, severity, asset as affected_asset, d as recommended_disposition from u where severity = 'high' and module in ('model_integrity', 'distribution_shift')"
 
 ORACLES = {
+    "sign_verify": "select doc_id as record_index, case when doc_id % 11 = 0 then 'bad' else 'ok' end as state from documents",
     "yolo_folder": _YOLO_FOLDER,
     "training_labels": "select row_number() over (order by printf('synth_%05d', s_suppkey)) - 1 as image_idx, s_nationkey as label from supplier",
     "coco_file": _COCO_FILE,

@@ -170,6 +170,13 @@ _P5_PROFILE = " union all ".join(
     ]
 )
 
+_P5_RANGES = " union all ".join(f"select load_id, '{c}' as column_name, min(cast({c} as varchar)) as min_text, max(cast({c} as varchar)) as max_text from object_annotations group by load_id" for c in ("image_path", "dataset_id", "class_name", "annotator", "annotated_at", "loaded_at"))
+
+_SIDES = {"x_center": ">= 0", "y_center": ">= 0", "height": "> 0", "width": "> 0"}
+_P5_INVALID = "select load_id, 'class_id' as column_name, count(class_id) as n_values, count(*) filter (where class_id is not null and class_id not in (select class_id from class_names)) as n_invalid from object_annotations group by load_id union all " + " union all ".join(
+    f"select load_id, '{c}' as column_name, count(bbox.{c}) as n_values, count(*) filter (where bbox.{c} is not null and not (not isnan(bbox.{c}) and bbox.{c} {low} and bbox.{c} <= 1)) as n_invalid from object_annotations group by load_id" for c, low in _SIDES.items()
+)
+
 ORACLES = {
     "p1_found": _P1_FOUND,
     "p1_records": _P1_RECORDS,
@@ -185,4 +192,6 @@ ORACLES = {
     "p4_report": _P4_REPORT,
     "p5_found": _P5_FOUND,
     "p5_profile": _P5_PROFILE,
+    "p5_ranges": _P5_RANGES,
+    "p5_invalid": _P5_INVALID,
 }
